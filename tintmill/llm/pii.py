@@ -61,7 +61,10 @@ def _finds(text: Column, pattern: str, possible: Column) -> Column:
     """array of (gap: code points since the last match, hit, left, right) of a text's matches."""
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.transform(hits, lambda h, i: F.struct(F.length(F.get(between, i)).cast("long").alias("gap"), h.alias("hit"), F.right(F.get(between, i), F.lit(AROUND)).alias("left"), F.left(F.get(between, i + 1), F.lit(AROUND)).alias("right")))
+    after = F.slice(between, 2, 2**31 - 1)
+    # Zipped, so that a text is split once and not again for each match; the last piece has no match.
+    rows = F.filter(F.arrays_zip(hits.alias("hit"), between.alias("before"), after.alias("after")), lambda z: z["hit"].isNotNull())
+    found = F.transform(rows, lambda z: F.struct(F.length(z["before"]).cast("long").alias("gap"), z["hit"].alias("hit"), F.right(z["before"], F.lit(AROUND)).alias("left"), F.left(z["after"], F.lit(AROUND)).alias("right")))
     none = F.array().cast("array<struct<gap:bigint,hit:string,left:string,right:string>>")
     return F.when(possible, found).otherwise(none)
 
@@ -72,9 +75,13 @@ def search(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), body.alias("body"))
     rows = rows.withColumns({"digits": F.col("body").rlike("[0-9]"), "at": F.contains("body", F.lit("@"))})
     may = {"email": F.col("at"), "ip": F.col("digits"), "card": F.col("digits"), "phone": F.contains("body", F.lit("+")), "": F.col("digits") | F.col("at")}
-    found = [F.struct(F.lit(k).alias("kind"), _finds(F.col("body"), MATCH.get(k, SHAPE), may[k]).alias("finds")) for k in (*KINDS, "")]
-    table = settle(rows.select("row", "doc_id", F.array(*found).alias("found")), "finds")
-    each = table.select("row", F.explode("found").alias("f")).select("row", "f.kind", F.posexplode("f.finds").alias("n", "m"))
+    finds = [_finds(F.col("body"), MATCH.get(k, SHAPE), may[k]).alias(k or "shape") for k in (*KINDS, "")]
+    table = settle(rows.select("row", "doc_id", *finds), "finds")
+    # A column for each kind: a generator then carries nothing but the row's number beside each match.
+    each = None
+    for k in (*KINDS, ""):
+        own = table.select("row", F.posexplode(k or "shape").alias("n", "m")).select("row", F.lit(k).alias("kind"), "n", "m")
+        each = own if each is None else each.unionAll(own)
     upto = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("m.hit")
     each = each.withColumn("end", F.sum(F.col("m.gap") + size).over(upto))
