@@ -24,4 +24,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tintmill.plans import clips, decisions, frames, ledgers, regions  # noqa: F401
+    from tintmill.plans import frames  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    load()
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    load()
+    return dict(ORACLES)
