@@ -113,7 +113,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     table = settle(own.withColumn("row", F.monotonically_increasing_id()), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
     groups = table.groupBy("recipe").agg(first.alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("of"), "keep", "group_size")
+    # A table of its own: beside an aggregate, Spark could not split the join's partition of a hot group.
+    groups = settle(groups.select(F.col("recipe").alias("of"), "keep", "group_size"), "recipe-groups")
     both = table.join(groups, F.col("recipe") == F.col("of"))
     return both.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "row_key")
 
