@@ -21,24 +21,38 @@ def share(condition: Column) -> Column:
 def tone(px: DataFrame, profile: str = "srgb") -> DataFrame:
     """Percentiles of linear luminance, clip ratios by channel and by luminance, classes, headroom."""
     rows = colour.with_linear(px).withColumn("lum", luminance(profile))
+    return _tone_done(rows.groupBy("frame_id").agg(*_tone_sums()))
+
+
+def _tone_sums() -> list[Column]:
     low, high = F.least("r", "g", "b"), F.greatest("r", "g", "b")
-    out = rows.groupBy("frame_id").agg(
+    return [
         F.percentile("lum", F.array(*[F.lit(p) for p in (0.01, 0.05, 0.5, 0.75, 0.95, 0.99)])).alias("p"),
         share(low <= 1).alias("shadow_clip_ratio"), share(high >= 254).alias("highlight_clip_ratio"), share(F.col("lum") <= 0.004).alias("luma_crushed_ratio"), share(F.col("lum") >= 0.99).alias("luma_blown_ratio"),
-    )
+    ]
+
+
+def _tone_done(out: DataFrame) -> DataFrame:
     return out.select("*", *[F.col("p")[k].alias(n) for k, n in enumerate(("p01", "p05", "p50", "p75", "p95", "p99"))]).drop("p").withColumn("tone_span", F.col("p95") - F.col("p05"))
 
 
 def colour_stats(px: DataFrame, profile: str = "srgb") -> DataFrame:
     """Colourfulness, mean chroma, chromatic share, cast of near-neutral pixels where there are enough."""
     rows = colour.with_oklab(px, profile=profile).withColumn("chroma", colour.chroma(F.col("ok_a"), F.col("ok_b")))
+    return _colour_done(rows.groupBy("frame_id").agg(*_colour_sums()))
+
+
+def _colour_sums() -> list[Column]:
     rg, yb = (F.col("r") - F.col("g")) / 255.0, ((F.col("r") + F.col("g")) / 2 - F.col("b")) / 255.0
     near = F.col("chroma") < NEAR_NEUTRAL
-    sums = rows.groupBy("frame_id").agg(
+    return [
         F.count(F.lit(1)).alias("n"), F.stddev_pop(rg).alias("rg_s"), F.stddev_pop(yb).alias("yb_s"), F.avg(rg).alias("rg_m"), F.avg(yb).alias("yb_m"),
         F.avg("chroma").alias("mean_chroma_oklab"), share(F.col("chroma") >= CHROMATIC).alias("chromatic_pixel_ratio"),
         F.count_if(near).alias("neutral_sample_count"), F.avg(F.when(near, F.col("ok_a"))).alias("a"), F.avg(F.when(near, F.col("ok_b"))).alias("b"),
-    )
+    ]
+
+
+def _colour_done(sums: DataFrame) -> DataFrame:
     enough = F.col("neutral_sample_count") >= F.greatest(F.lit(40.0), F.col("n") * 0.02)
     sums = sums.withColumns({"cast_a": F.when(enough, F.col("a")).otherwise(0.0), "cast_b": F.when(enough, F.col("b")).otherwise(0.0)})
     sums = sums.withColumn("colorfulness", F.hypot("rg_s", "yb_s") + F.hypot("rg_m", "yb_m") * 0.3)
@@ -82,11 +96,26 @@ def texture(px: DataFrame, profile: str = "srgb") -> DataFrame:
     rows = colour.with_linear(px).select("frame_id", "x", "y", luminance(profile).alias("lum")).repartition("frame_id")
     for radius in (1, 4, 12):
         rows = box_blur(rows, "lum", radius, f"b{radius}")
+    return rows.groupBy("frame_id").agg(*_texture_sums())
+
+
+def _texture_sums() -> list[Column]:
     away = lambda r: F.abs(F.col("lum") - F.col(f"b{r}"))
-    return rows.groupBy("frame_id").agg(
+    return [
         F.avg(away(1)).alias("local_contrast_texture"), F.avg(away(4)).alias("local_contrast_modeling"), F.avg(away(12)).alias("local_contrast_region"),
         F.coalesce(F.avg(F.when(F.abs(F.col("b1") - F.col("b4")) < 0.01, away(1))), F.lit(0.0)).alias("noise_estimate"),
-    )
+    ]
+
+
+def statistics(px: DataFrame, profile: str = "srgb") -> DataFrame:
+    """Tone, colour and texture of each frame in one pass: all sums stand in one aggregate, so there is
+    one exchange, by frame, and no join."""
+    rows = px.select("frame_id", "x", "y", "r", "g", "b").repartition("frame_id")
+    rows = colour.with_linear(rows).withColumn("lum", luminance(profile)).drop("lin_r", "lin_g", "lin_b")
+    for radius in (1, 4, 12):
+        rows = box_blur(rows, "lum", radius, f"b{radius}")
+    rows = colour.with_oklab(rows, profile=profile).withColumn("chroma", colour.chroma(F.col("ok_a"), F.col("ok_b")))
+    return _colour_done(_tone_done(rows.groupBy("frame_id").agg(*_tone_sums(), *_colour_sums(), *_texture_sums())))
 
 
 #: Bounds of a frame whose technique already looks finished.

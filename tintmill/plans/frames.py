@@ -122,15 +122,10 @@ POLISHED_SQL = f"""WITH {fixtures.SCENES_SQL}, {sql.oklab()}, lum AS (SELECT *,
 {TONE}, {COLOUR}, {blurs('lum')}, {TEXTURE}, stats AS (SELECT *, p95 - p05 AS tone_span FROM tone JOIN colours USING (frame_id) JOIN texture USING (frame_id))"""
 
 
-def statistics(px: DataFrame) -> DataFrame:
-    """Tone, colour and texture of each frame, side by side."""
-    return diag.tone(px).join(diag.colour_stats(px), "frame_id").join(diag.texture(px), "frame_id")
-
-
 @query(f"{POLISHED_SQL}, done AS (SELECT frame_id, {_FAILED} AS failed_checks FROM stats) SELECT frame_id, failed_checks, failed_checks = '' AS candidate FROM done")
 def already_polished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine checks, all of which a finished frame passes."""
-    return diag.already_polished(statistics(fixtures.scenes(spark, sf_dir)))
+    return diag.already_polished(diag.statistics(fixtures.scenes(spark, sf_dir)))
 
 
 LABEL = "CASE frame_id % 4 WHEN 0 THEN 'night' WHEN 1 THEN 'day' WHEN 2 THEN 'indoor' END"
