@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tintmill.plans import frames, regions, sequences  # noqa: F401
+    from tintmill.plans import frames, records, regions, sequences  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
