@@ -107,3 +107,34 @@ def cal_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cal_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: the fitted matrix, which must be the one that mixed the channels."""
     return rounded(fields.solved(fields.moments(chart(spark, sf_dir), "frame_id"), "frame_id"))
+
+
+# Families of hue that speak for a season, and the seasons' names.
+WARM, GREEN, COOL = ("红", "橙／肤色带", "黄"), ("黄绿", "绿", "青绿"), ("青绿", "青蓝", "蓝")
+AUTUMN, GROWING, WINTER = "秋", "春／夏", "冬"
+
+
+def _weight(families) -> str:
+    return "coalesce(sum(share) FILTER (WHERE family IN (" + ", ".join(f"'{f}'" for f in families) + ")), 0e0)"
+
+
+_SCENE_CHROMA = f"WITH {fixtures.SCENES_SQL}, {sql.oklab()}, chr AS (SELECT *, {sql.hypot('oka', 'okb')} AS chroma FROM lab)"
+
+
+@query(f"""{_SCENE_CHROMA}, st AS (SELECT frame_id, avg(chroma) AS mean_chroma, avg(CASE WHEN chroma >= 2.8e-2 THEN 1e0 ELSE 0e0 END) AS chromatic FROM chr GROUP BY frame_id),
+bins AS (SELECT frame_id, CAST(floor(({sql.hue('oka', 'okb')}) / 10) AS BIGINT) % 36 AS bin, sum(chroma) AS weight FROM chr WHERE chroma >= 2.8e-2 GROUP BY ALL),
+ranked AS (SELECT *, weight / sum(weight) OVER (PARTITION BY frame_id) AS share, row_number() OVER (PARTITION BY frame_id ORDER BY round(weight, 9) DESC, bin) AS rank FROM bins),
+top AS (SELECT frame_id, share, {sql.cases('bin * 10 + 5', labels.HUE_FAMILIES, labels.HUE_FAMILIES[0][1])} AS family FROM ranked WHERE rank <= 3),
+w AS (SELECT frame_id, {_weight(WARM)} AS warm, {_weight(GREEN)} AS green, {_weight(COOL)} AS cool FROM top GROUP BY frame_id), j AS (SELECT frame_id, mean_chroma, chromatic, coalesce(warm, 0e0) AS warm, coalesce(green, 0e0) AS green, coalesce(cool, 0e0) AS cool FROM st LEFT JOIN w USING (frame_id)),
+v AS (SELECT *, CASE WHEN chromatic >= 2.2e-1 AND warm >= 5.8e-1 THEN '{AUTUMN}' WHEN chromatic >= 2e-1 AND green >= 5.8e-1 THEN '{GROWING}' WHEN cool >= 6.2e-1 AND mean_chroma <= 1e-1 THEN '{WINTER}' ELSE 'unknown' END AS season FROM j)
+SELECT frame_id, {s6(warm='warm', green='green', cool='cool')}, season, CASE season WHEN '{AUTUMN}' THEN round(least(8.8e-1, warm * chromatic + 4.5e-1), 3) WHEN '{GROWING}' THEN round(least(8.4e-1, green * chromatic + 4.2e-1), 3) WHEN '{WINTER}' THEN round(least(8.2e-1, cool * 7.2e-1), 3) ELSE 0e0 END AS confidence FROM v""")
+def season_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A season suggested by the strongest hues alone; unknown where they say too little."""
+    c, rows = F.col, fixtures.scenes(spark, sf_dir)
+    weight = lambda families: F.sum(F.when(c("family").isin(*families), c("share")).otherwise(0.0))
+    hues = diag.hue_histogram(rows).groupBy("frame_id").agg(weight(WARM).alias("warm"), weight(GREEN).alias("green"), weight(COOL).alias("cool"))
+    seen = diag.colour_stats(rows).select("frame_id", c("mean_chroma_oklab").alias("mean_chroma"), c("chromatic_pixel_ratio").alias("chromatic")).join(hues, "frame_id", "left").fillna(0.0, ["warm", "green", "cool"])
+    autumn, growing, winter = (c("chromatic") >= 0.22) & (c("warm") >= 0.58), (c("chromatic") >= 0.20) & (c("green") >= 0.58), (c("cool") >= 0.62) & (c("mean_chroma") <= 0.10)
+    season = F.when(autumn, AUTUMN).when(growing, GROWING).when(winter, WINTER).otherwise("unknown")
+    sure = F.when(autumn, F.least(F.lit(0.88), c("warm") * c("chromatic") + 0.45)).when(growing, F.least(F.lit(0.84), c("green") * c("chromatic") + 0.42)).when(winter, F.least(F.lit(0.82), c("cool") * 0.72)).otherwise(0.0)
+    return rounded(seen.select("frame_id", "warm", "green", "cool", season.alias("season"), F.round(sure, 3).alias("confidence")))
