@@ -24,9 +24,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_rows(docs, exact_dedup.exact_dedup(docs))
 
 
+#: Similarity of the sets of five-word shingles from which two documents are near copies.
+NEAR = 0.8
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document that names it stays (the smallest doc_id)."""
-    found = simhash_dedup.near_dedup(docs)
+    """Of each group of near copies or linked fingerprints the document that names it stays (the smallest doc_id)."""
+    found = simhash_dedup.near_dedup(docs, similarity=NEAR, words=5)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
 

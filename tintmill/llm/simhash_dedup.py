@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tintmill.llm.near_copies import near_copies, unit_of
 from tintmill.llm.shared import documents, settle
 
 WORDS, SEED, DISTANCE = 3, 42, 2
@@ -185,12 +186,21 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(nodes.select("node", F.col("node").alias("root")))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, fp (64 bits as a long), component_id."""
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
+    """A row for each row of docs: doc_id, fp (64 bits as a long), component_id. With a similarity,
+    texts whose sets of shingles (of so many words) are that similar link too."""
     fingerprints = F.pandas_udf(_fingerprints, "long")
-    table = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    more = [unit_of(text).alias("unit")] if similarity else []
+    table = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), *more), "fingerprints")
     nodes = settle(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp"))
+    if similarity:
+        of = table.groupBy("unit").agg(F.first("fp").alias("fp"))
+        pairs = near_copies(docs, words, similarity, doc_id, text)
+        for end in "ab":
+            pairs = pairs.join(of.select(F.col("unit").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        edges = edges.union(pairs.select("fp_a", "fp_b"))
+    linked = components(edges)
     groups = settle(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "groups")
     named = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = settle(groups.join(named.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select(F.col("fp").alias("of"), "component_id"), "named")
