@@ -1,0 +1,78 @@
+import numpy as np
+
+from tintmill.llm import lm_scoring as lm
+
+
+def plain(word, room, count, customers, distinct, sweeps, burn, seed=5):
+    """Moves all customers, one at a time; tables of each pair, customers and tables of the parent."""
+    draw = np.random.default_rng(seed)
+    own = [[1] * int(c) for c in count]
+    top = [[1] * int(sum(count[word == w])) for w in range(word.max() + 1)]
+    sums = np.zeros(len(count)), np.zeros(len(top)), np.zeros(len(top))
+
+    def out(tables):
+        k = draw.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+
+    def put(tables, discount, fresh):
+        stay = sum(tables) - discount * len(tables)
+        if not tables or draw.random() * (fresh + stay) < fresh:
+            tables.append(1)
+            return True
+        w = np.array(tables) - discount
+        tables[draw.choice(len(tables), p=w / w.sum())] += 1
+
+    def base():
+        return (lm.STRENGTH_0 + lm.DISCOUNT_0 * sum(map(len, top))) / (distinct + 1)
+
+    for sweep in range(burn + sweeps):
+        for k, tables in enumerate(own):
+            w = word[k]
+            for _ in range(int(count[k])):
+                if out(tables):
+                    out(top[w])
+                p = (sum(top[w]) - lm.DISCOUNT_0 * len(top[w]) + base()) / (lm.STRENGTH_0 + sum(map(sum, top)))
+                all_tables = sum(len(own[j]) for j in range(len(own)) if room[j] == room[k])
+                if put(tables, lm.DISCOUNT, (lm.STRENGTH + lm.DISCOUNT * all_tables) * p):
+                    put(top[w], lm.DISCOUNT_0, base())
+        for tables in top:
+            for _ in range(sum(tables)):
+                out(tables)
+                put(tables, lm.DISCOUNT_0, base())
+        if sweep >= burn:
+            for total, now in zip(sums, (list(map(len, own)), list(map(sum, top)), list(map(len, top)))):
+                total += now
+    return [x / sweeps for x in sums]
+
+
+def case():
+    word, room = np.array([0, 1, 2, 0, 3]), np.array([0, 0, 0, 1, 1])
+    return word, room, np.array([300, 60, 7, 120, 2])
+
+
+def test_tables_are_those_of_a_plain_sampler(monkeypatch):
+    monkeypatch.setattr(lm, "STRENGTH", 20.0)
+    word, room, count = case()
+    customers = np.bincount(room, count, lm.RESTAURANTS)
+    want = plain(word, room, count, customers, 4, 40, 10)
+    monkeypatch.setattr(lm, "BURN_IN", 20)
+    monkeypatch.setattr(lm, "SWEEPS", 60)
+    got = lm.seat(4, word, room, count, customers, 4, 1.0, 2)
+    for a, b in zip(got, want):
+        assert np.allclose(a, b, rtol=0.12, atol=0.8), (a, b)
+
+
+def test_a_frequent_word_leaves_the_first_guess():
+    """However the tables begin, the sweeps that are counted agree."""
+    word, room, count = np.arange(3), np.zeros(3, int), np.array([100_000, 30_000, 50])
+    customers = np.bincount(room, count, lm.RESTAURANTS)
+    first = lm.seat(3, word, room, count, customers, 3, 1.0, 1)
+    guess, lm._expected_tables = lm._expected_tables, lambda c, d: np.maximum(1, c // 3)
+    try:
+        second = lm.seat(3, word, room, count, customers, 3, 1.0, 1)
+    finally:
+        lm._expected_tables = guess
+    assert np.allclose(first[0], second[0], rtol=0.1), (first[0], second[0])
