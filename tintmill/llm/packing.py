@@ -28,6 +28,8 @@ from tintmill.llm.shared import byte_bpe, documents, settle, slices, slots, text
 
 LENGTH = 1024
 SEPARATOR = 0
+#: The vocabulary's one added token.
+MARK, MARK_ID = "<|endoftext|>", 50256
 DIMENSIONS, BITS = 3, 10
 SEED = 5
 #: Ids that a range holds about; there are at least LEAST_RANGES ranges and at most 2**MOST_BITS.
@@ -79,10 +81,20 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     return hilbert(cells)
 
 
+def encode_marked(encode, text: str) -> list[int]:
+    """Ids as the tokenizers library gives them: the literal end-of-text mark is one id of its own."""
+    if MARK not in text:
+        return encode(text)
+    ids: list[int] = []
+    for k, part in enumerate(text.split(MARK)):
+        ids += [MARK_ID] * bool(k) + encode(part)
+    return ids
+
+
 def _tokenised(batches, vocabulary: str, separator: int, seed: int) -> Iterator[pa.RecordBatch]:
     encode, table = byte_bpe(vocabulary), directions(seed)
     for batch in slices(batches):
-        ids = [np.array([*encode(x), separator], dtype="<u2") for x in texts_of(batch)]
+        ids = [np.array([*encode_marked(encode, x), separator], dtype="<u2") for x in texts_of(batch)]
         keys = curve_keys(ids, table)
         names = [zlib.crc32(str("" if x is None else x).encode()) for x in batch.column(0).to_pylist()]
         key = (keys << 32) | np.array(names, dtype=np.int64)
