@@ -72,3 +72,29 @@ def test_noise_is_rejected(spark):
     model = language_id.fit(docs)
     noise = spark.createDataFrame([(1, " ".join("zqxjkvwp"[(k * 7 + j * 3) % 8] * 2 + "xq" for j in range(3) for k in range(200)))], "doc_id long, text string")
     assert language_id.identify(noise, model).first()["language"]["rejected"]
+
+
+def test_the_sample_does_not_depend_on_the_size_of_the_corpus():
+    for n in (601, 10**6, 3 * 10**8, 10**10, 10**13):
+        assert abs(language_id.bound(600, n) * n / 2**63 - 600) < 1
+    assert language_id.bound(600, 5) == 2**63 - 1
+
+
+def test_marks_alone_are_no_letters(spark):
+    model = language_id.fit(documents(spark, "/root/testdata/sf0.001"))
+    rows = spark.createDataFrame([(1, "́̂ ̃"), (2, "étude des élèves de la maison")], "doc_id long, text string")
+    got = {r.doc_id: r.language for r in language_id.identify(rows, model).collect()}
+    assert got[1].lang_pred == "und" and got[1].rejected and got[1].score == 0
+    assert got[2].lang_pred != "und"
+
+
+def test_a_single_labelled_row_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, "only one row here", "xx"), (2, "...", "yy"), (3, None, "zz")], "doc_id long, text string, lang string")
+    assert language_id.fit(docs).langs == ["xx"]
+
+
+def test_a_rare_language_has_limits_too(spark):
+    rows = [(k, f"the quick brown fox number {'abcdefghij'[k % 10] * (k % 7 + 1)} jumps over it", "en") for k in range(400)]
+    rows += [(1000 + k, f"der schnelle braune fuchs {'klmnop'[k % 6] * (k % 5 + 1)} springt", "de") for k in range(9)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"] and sorted(model.limits) == [0, 1]

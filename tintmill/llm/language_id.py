@@ -1,16 +1,20 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One order-5 model per language, learned from a bounded sample of labelled rows (SAMPLE rows a
-language, chosen by a hash of doc_id). Counts of 5-grams are summed by Spark; continuation counts,
+One order-5 model per language, learned from a bounded sample of labelled rows with a letter (about
+SAMPLE rows a language, all rows if there are fewer; chosen by a 63-bit hash of doc_id and text, so
+that the size of the sample does not depend on the size of the corpus). Counts of 5-grams are summed by Spark; continuation counts,
 discounts and interpolation follow from them. Grams of all languages share sorted hash arrays: a
 key's place in the array is its row of log-probabilities, one for each language. A text gets the
 language with the lowest length-normalised cross-entropy. A part of the sample that is not learned
 from calibrates the score (softmax temperature) and the rejection: a text whose cross-entropy lies
-more than REJECT deviations above what its language shows is rejected.
-
-Defined cases: null text, or text without a letter, is `und`, score 0, rejected; empty tables give no
-rows; without any labelled row every text is `und`; equal cross-entropies go to the first language in
-alphabetical order; repeated rows get equal results; other columns pass through or are not read.
+more than REJECT deviations above what its language shows is rejected. A language with fewer than
+FEW calibration rows takes the limits of all languages' rows together.
+
+Defined cases: null text, or text without a letter (combining marks are none), is `und`, score 0,
+rejected; empty tables give no rows; without any labelled row with a letter every text is `und`; if
+no row is left to calibrate with, nothing with a letter is rejected; equal cross-entropies go to the
+first language in alphabetical order; repeated rows get equal results; a very long text is scored
+whole, in one piece of some 60 bytes of memory a character; other columns pass through or are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintmill.llm.shared import documents, is_held_out
+from tintmill.llm.shared import documents, is_held_out, settle, slices
 
 ORDER = 5
 #: Bits of a character in a gram's hash (folded code points): 5 x 12 bits fit into 63.
@@ -31,14 +35,20 @@ BITS = 12
 MASK = (1 << BITS) - 1
 #: Labelled rows of a language that are learned from, at most about; and one in CALIBRATE of them calibrates.
 SAMPLE, CALIBRATE = 600, 5
-REJECT = 8.0
+REJECT, FEW = 8.0, 8
 PAD = "\x01" * (ORDER - 1)
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
 def letters(text: Column) -> Column:
-    """Lower-case letters, everything else between them one space; null and letterless text: ''."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " "))
+    """Lower-case letters and their marks, everything else between them one space; null and letterless text: ''."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+    return F.when(text.rlike(r"\p{L}"), plain).otherwise("")
+
+
+def bound(sample: int, rows: int) -> int:
+    """Draws of 63 bits below this are sampled: about `sample` of so many rows, all of fewer."""
+    return min(2**63 - 1, (sample << 63) // max(rows, 1))
 
 
 def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,12 +153,13 @@ class Model:
         sums = np.add.reduceat(values, starts, axis=0, dtype=np.float64)  # what lies before the next start scores 0
         return -sums / np.log(2) / (ends - starts)[:, None], ends - starts
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        known = [(t, self.langs.index(x)) for t, x in zip(texts, langs) if t and x in self.langs]
-        if not known:
+    def calibrate(self, bits: np.ndarray, n: np.ndarray, langs: list[str]) -> None:
+        """From the entropies (rows x languages), lengths and languages of rows set aside."""
+        known = np.array([x in self.langs for x in langs], bool)
+        if not known.any():
             return
-        bits, n = self.entropies([t for t, _ in known])
-        truth = np.array([k for _, k in known])
+        bits, n = bits[known], n[known]
+        truth = np.array([self.langs.index(x) for x in langs if x in self.langs])
         losses = []
         grid = 2.0 ** np.arange(-2, 9)
         for t in grid:
@@ -156,9 +167,12 @@ class Model:
             z -= z.max(axis=1, keepdims=True)
             losses.append(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean())
         self.temperature = float(grid[int(np.argmin(losses))])
+        together = bits[np.arange(len(truth)), truth]
         for k in range(len(self.langs)):
             own, size = bits[truth == k, k], n[truth == k]
-            if len(own) >= 8:
+            if len(own) < FEW:
+                own, size = together, n
+            if len(own) >= FEW:
                 middle = float(np.median(own))
                 square = (own - middle) ** 2
                 per_character = float(np.median(square * size) * 2.2)
@@ -186,22 +200,34 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of the labelled rows of docs that are not held out. The sample's size is bounded by
     `sample` rows a language; what reaches the driver is its distinct 5-grams."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~is_held_out(doc_id, 4))
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.lit("sample"), doc_id), F.lit(1 << 20)).alias("draw"))
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(doc_id, 4))
+    drawn = lambda name: F.shiftrightunsigned(F.xxhash64(F.lit(name), doc_id, text), 1)
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), drawn("sample").alias("draw"), (drawn("aside") % CALIBRATE == 0).alias("aside"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model({})
     chosen = F.lit(False)
     for x, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == x) & (F.col("draw") < min(1 << 20, (sample << 20) // n)))
-    rows = rows.filter(chosen).select(letters(F.col("text")).alias("text"), "lang", (F.col("draw") % CALIBRATE == 0).alias("aside")).filter("text != ''")
-    rows = rows.persist()
+        chosen = chosen | ((F.col("lang") == x) & (F.col("draw") <= bound(sample, n)))
+    rows = settle(rows.filter(chosen).select(letters(F.col("text")).alias("text"), "lang", "aside"), "language-sample")
     learned = rows.filter("not aside").select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long")
     table = learned.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "gram"])
     model = Model({x: (own["gram"].to_numpy(), own["n"].to_numpy()) for x, own in table.groupby("lang")})
-    aside = rows.filter("aside").select("text", "lang").toPandas()
-    rows.unpersist()
-    model.calibrate(aside["text"].tolist(), aside["lang"].tolist())
+    if not model.langs:  # a handful of rows, all of them set aside: learn from them, calibrate with none
+        table = rows.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+        return Model({x: (own["gram"].to_numpy(), own["n"].to_numpy()) for x, own in table.sort_values(["lang", "gram"]).groupby("lang")})
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+
+    def measured(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in slices([batch], 1 << 20):
+                bits, n = shared.value.entropies(own.column(0).to_pylist())
+                yield pa.record_batch({"bits": pa.array(list(bits), pa.list_(pa.float64())), "n": pa.array(n), "lang": own.column(1)})
+
+    # Only numbers of the rows set aside reach the driver, not their texts.
+    aside = rows.filter("aside").select("text", "lang").mapInArrow(measured, "bits array<double>, n long, lang string").orderBy("lang", "n").toPandas()
+    if len(aside):
+        model.calibrate(np.array(aside["bits"].tolist()), aside["n"].to_numpy(), aside["lang"].tolist())
     return model
 
 
