@@ -6,12 +6,14 @@ into cells, give a Hilbert key: documents near each other on the curve use simil
 sorted by (key, hash of doc_id) in ranges and laid one after the other along the curve; sequences are
 cut from that line every `length` ids, so only the very last one is padded.
 
-Ids are made once and written to a durable table; after that they move once, to their range.
+Ids are made once and written to a durable table; after that they move once, to their range. The
+number of ranges and of tasks follows from the number of ids; the driver holds two numbers a range,
+that is 16 bytes for some 8 MB of text. The result does not depend on where ranges are cut.
 
 Defined cases: null text counts as empty: its document is the separator alone; documents with equal
 keys are ordered by doc_id's hash, then doc_id, and repeated rows follow one another in any order
-(they are interchangeable); a null doc_id sorts first; an empty table gives no rows; other columns
-are not read.
+(they are interchangeable); a null doc_id sorts first; a very long text is encoded whole and cut into
+as many sequences as it needs; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,9 @@ SEPARATOR = 0
 MARK, MARK_ID = "<|endoftext|>", 50256
 DIMENSIONS, BITS = 3, 10
 SEED = 5
-#: Ids that a range holds about; there are at least LEAST_RANGES ranges and at most 2**MOST_BITS.
-RANGE_IDS, LEAST_BITS, MOST_BITS = 1 << 22, 8, 14
+#: The curve is cut at COARSE quantiles of its keys, and each part at as many quantiles again as make
+#: ranges of some RANGE_IDS ids. A task takes the ranges of some TASK_IDS ids.
+COARSE, RANGE_IDS, TASK_IDS = 256, 1 << 21, 1 << 26
 
 
 def directions(seed: int = SEED, ids: int = 1 << 16) -> np.ndarray:
@@ -101,6 +105,25 @@ def _tokenised(batches, vocabulary: str, separator: int, seed: int) -> Iterator[
         yield pa.record_batch({"doc_id": batch.column(0), "key": pa.array(key), "n_ids": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
 
 
+def _cuts(table: DataFrame, total: int) -> np.ndarray:
+    """Keys at which the curve is cut into ranges, in order: quantiles, and quantiles between them."""
+    coarse = table.agg(F.percentile_approx("key", [k / COARSE for k in range(1, COARSE)], 10 * COARSE).alias("b")).first()["b"] or []
+    coarse = sorted(set(coarse))
+    parts = -(-total // (COARSE * RANGE_IDS))
+    fine = [k / parts for k in range(1, parts)]
+    if not fine:
+        return np.array(coarse, np.int64)
+    shared = table.sparkSession.sparkContext.broadcast(np.array(coarse, np.int64))
+
+    @F.pandas_udf("long")
+    def part_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, keys.to_numpy(), side="right"))
+
+    inside = table.select("key", part_of("key").alias("part")).groupBy("part").agg(F.percentile_approx("key", fine, 10 * parts).alias("b"))
+    found = inside.select("b").toArrow().column("b").combine_chunks().flatten().to_numpy()
+    return np.unique(np.concatenate([np.array(coarse, np.int64), found]))
+
+
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = "byte_bpe_50k", separator: int = SEPARATOR, seed: int = SEED,
          doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
@@ -108,20 +131,22 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = "byte_bpe_50k"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     table = settle(rows.mapInArrow(lambda it: _tokenised(it, vocabulary, separator, seed), f"doc_id {kind}, key long, n_ids long, ids binary"), "tokenised")
     total = table.agg(F.coalesce(F.sum("n_ids"), F.lit(0)).alias("n")).first()["n"]
-    bits = min(MOST_BITS, max(LEAST_BITS, (total // RANGE_IDS).bit_length()))
-    cuts = [k / 2**bits for k in range(1, 2**bits)]
-    bounds = table.agg(F.percentile_approx("key", cuts, 10 * 2**bits).alias("b")).first()["b"] or []
-    # The descent goes step by step through columns: each step reads the one before once.
-    ranged = table.withColumn("__range", F.lit(0))
-    padded = bounds + [2**63 - 1] * (2**bits - len(bounds))
-    literal = F.from_json(F.lit(str(padded)), "array<long>")
-    for b in range(bits - 1, -1, -1):
-        ranged = ranged.withColumn("__range", F.col("__range") + F.when(F.get(literal, F.col("__range") + ((1 << b) - 1)) <= F.col("key"), 1 << b).otherwise(0))
-    sums = ranged.groupBy("__range").agg(F.sum("n_ids").alias("n")).collect()  # a row for each range
-    offsets, at = {}, 0
-    for r in sorted(sums, key=lambda r: r["__range"]):
-        offsets[r["__range"]], at = at, at + r["n"]
-    ordered = ranged.repartition(max(slots(docs.sparkSession), 1), "__range").sortWithinPartitions("__range", "key", "doc_id")
+    cuts = _cuts(table, total)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(cuts)  # 8 bytes a range
+
+    @F.pandas_udf("long")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, keys.to_numpy(), side="right"))
+
+    ranged = table.withColumn("__range", range_of("key"))
+    sums = ranged.groupBy("__range").agg(F.sum("n_ids").alias("n")).toArrow().sort_by("__range")  # a row for each range
+    n = sums.column("n").to_numpy().astype(np.int64)
+    places = np.zeros(len(cuts) + 1, np.int64)
+    places[sums.column("__range").to_numpy()] = np.cumsum(n) - n
+    offsets = spark.sparkContext.broadcast(places)
+    tasks = max(slots(spark), total // TASK_IDS)
+    ordered = ranged.repartition(int(tasks), "__range").sortWithinPartitions("__range", "key", "doc_id")
 
     def pieces(batches):
         current, at = None, 0
@@ -129,7 +154,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = "byte_bpe_50k"
             out = []
             for k, (name, inside, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if inside != current:
-                    current, at = inside, offsets[inside]
+                    current, at = inside, int(offsets.value[inside])
                 wide = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
                 n, start = len(wide) // 4, 0
                 while start < n:
