@@ -41,3 +41,29 @@ def test_raw_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"")
     got = token_counts.separator_scan(token_counts.token_blocks(spark, str(tmp_path))).orderBy("ordinal").collect()
     assert [r.n_tokens for r in got] == [*lengths, 2] and [r.terminated for r in got] == [True] * 4 + [False]
+
+
+def test_a_raw_file_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", 8)
+    monkeypatch.setattr(token_counts, "RUN", 2)
+    draw = np.random.default_rng(2)
+    want = []
+    for name, size in (("x y.bin", 211), ("b.bin", 16), ("c.bin", 1)):
+        ids = draw.integers(0, 4, size).astype("<u2")
+        (tmp_path / name).write_bytes(ids.tobytes())
+        ends = np.flatnonzero(ids == 0).tolist()
+        want += [b - a - 1 for a, b in zip([-1, *ends], ends)] + ([size - 1 - ([-1, *ends])[-1]] if ids[-1] else [])
+    blocks = token_counts.token_blocks(spark, str(tmp_path))
+    assert blocks.count() == 27 + 2 + 1
+    got = token_counts.separator_scan(blocks, end=0).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(want)
+
+
+def test_a_file_that_ends_inside_an_id_is_refused(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    try:
+        token_counts.token_blocks(spark, str(tmp_path)).collect()
+    except Exception as e:
+        assert "no whole number of ids" in str(e)
+    else:
+        raise AssertionError("read")

@@ -8,8 +8,10 @@ levels: within runs of RUN blocks, and over the runs of a file. No task holds mo
 block summaries, however long a file is.
 
 Defined cases: null or empty text is a document of 0 tokens; ids after the last separator of a file
-are a document with terminated = false; a file without ids has no documents; repeated documents are
-counted each; null doc_id is carried as null; other columns are not read; no files, no rows.
+are a document with terminated = false; a file without ids has no documents, one that ends inside an
+id is an error; repeated documents are counted each; a very long text is encoded whole and its ids
+span as many blocks as they need; null doc_id is carried as null; other columns are not read; no
+files, no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from tintmill.llm.shared import byte_bpe, documents, settle, slices, texts_of
 END = 50256
 BLOCK = 1 << 16
 RUN = 1 << 10
-#: Larger raw files have to be split by their writer: Spark hands a file over whole.
-MOST_FILE = 1 << 30
 
 
 def _flat(batches, vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -72,22 +72,37 @@ def write_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end: int = E
     return settle(docs.select("doc_id", "text").mapInArrow(lambda it: _flat(it, vocabulary, end), f"file long, block long, ids binary, ends array<{kind}>"), "tokens")
 
 
-def token_blocks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Raw token files below path (any store that Spark reads) as blocks: file, block, ids."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    if not files.select("path", "length").filter(F.col("length") > MOST_FILE).isEmpty():
-        raise ValueError(f"a token file of over {MOST_FILE} bytes; split it")
+def _open(path: str):
+    """A file for reading at any place, by its URI: of the folders that all nodes share, or of any
+    other store that pyarrow knows."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
 
-    def cut(batches):
-        size = BLOCK * width
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(content) % width:
-                    raise ValueError(f"{name}: {len(content)} bytes are no whole number of ids")
-                for block, at in enumerate(range(0, len(content), size)):
-                    yield pa.record_batch({"file": [name], "block": pa.array([block], pa.int64()), "ids": pa.array([content[at:at + size]], pa.binary())})
 
-    return files.select("path", "content").mapInArrow(cut, "file string, block long, ids binary")
+def token_blocks(spark: SparkSession, path: str, width: int = 2, opener=_open) -> DataFrame:
+    """Raw token files below path as blocks: file, block, ids. Spark lists the files; their byte ranges,
+    a row for each run of RUN blocks, are dealt to tasks, which read one block at a time: so a file of
+    any size is read by as many tasks as it has runs. `opener` opens a file for reading at a place."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    size = BLOCK * width
+    wrong = F.raise_error(F.concat("path", F.lit(": no whole number of ids"))).cast("long")
+    files = files.withColumn("length", F.when(F.col("length") % width == 0, F.col("length")).otherwise(wrong)).filter("length > 0")
+    runs = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {size * RUN})")).alias("run")).repartition("path", "run")
+
+    def read(batches):
+        for batch in batches:
+            for name, length, run in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                with opener(name) as own:
+                    for block in range(run * RUN, min((run + 1) * RUN, -(-length // size))):
+                        own.seek(block * size)
+                        raw = own.read(min(size, length - block * size))
+                        yield pa.record_batch({"file": [name], "block": pa.array([block], pa.int64()), "ids": pa.array([raw], pa.binary())})
+
+    return runs.mapInArrow(read, "file string, block long, ids binary")
 
 
 def separator_scan(blocks: DataFrame, end: int = END, width: int = 2, carried: str | None = None) -> DataFrame:
