@@ -1,6 +1,8 @@
-import duckdb
+import re
+
 from conftest import ROWS
 from test_exact_dedup import plain
+from test_near_copies import near_pairs
 from test_simhash_dedup import groups, naive
 
 import corpus_pipeline
@@ -29,13 +31,16 @@ def test_stages_against_brute_force(spark):
     ids = {r.doc_id for r in exact.collect()}
     assert ids == set(least.values())
     fps = {i: naive(rows[i].text) for i in ids}
-    root = groups(sorted(set(fps.values())))
+    root = groups(sorted(set(fps.values())))  # links of fingerprints, and links of near copies over them
+    for a, b in near_pairs([(i, rows[i].text) for i in sorted(ids)]):
+        old, new = root[fps[a]], root[fps[b]]
+        root = {f: new if r == old else r for f, r in root.items()}
     stay = {}
     for i in sorted(ids):
         stay.setdefault(root[fps[i]], i)
     ids = {r.doc_id for r in near.collect()}
     assert ids == set(stay.values())
-    tokens = {i: sum(c in mixing.SPACES for c in rows[i].text) + 1 for i in ids}
+    tokens = {i: len(re.findall(mixing.WORD, rows[i].text)) + 1 for i in ids}
     taken = {r.doc_id for r in mixed.collect()}
     assert taken <= ids and sum(tokens[i] for i in taken) >= sum(tokens.values()) * corpus_pipeline.MIX_SHARE // 1000
     assert {r.doc_id for r in packed.collect()} == taken

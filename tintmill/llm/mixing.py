@@ -11,9 +11,13 @@ order of md5(seed:epoch:doc_id). The leaf's budget is a token prefix of epoch 0,
 document at the cut counts with the tokens that fit. Whole hash ranges are taken or left without
 sorting: only the range at a leaf's cut is ordered, so a leaf with a third of all rows is no hot spot.
 
-Defined cases: a token is what stands between white-space characters, so null or empty text has one
-token; null lang or source are nodes of their own (''); a null doc_id is ordered as ''; repeated rows
-count each, in any order among themselves; an empty table gives no rows.
+A token is a word or the one end of a document, as in this package's language model; `size` takes
+any other count, such as the ids of `token_counts`, if a column holds it.
+
+Defined cases: null or empty text has one token, its end; null lang or source are nodes of their own
+('', of domain UNLISTED); a null doc_id is ordered as ''; repeated rows count each, in any order among
+themselves; a very long text is one row of many tokens, cut where the budget ends; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,24 +29,28 @@ from tintmill.llm.shared import documents, settle
 
 SEED = 11
 #: Integer weights of nodes among their siblings; nodes not listed weigh OTHER.
-WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}, "source": {}}
+WEIGHTS = {"domain": {"web": 4, "books": 3, "news": 2, "reference": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}, "source": {}}
 OTHER = 1
+#: The domain of each source: a parameter; these twenty are the sources of the supplied tables, which
+#: carry no domain of their own. A source that is not listed belongs to UNLISTED.
+DOMAINS = {f"src{k}": ("web", "books", "news", "reference")[k // 5] for k in range(20)}
+UNLISTED = "other"
 #: The budget in thousandths of all tokens, and how often a document may be read.
 SHARE, EPOCHS = 600, 2
 #: Hash ranges of a leaf: the first hexadecimal digits of the order.
 RANGE_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
-SPACES = " \t\n\x0b\x0c\r"
+#: A word, as the language model of this package has it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tokens(text: Column) -> Column:
-    body = F.coalesce(text, F.lit(""))
-    return (F.length(body) - F.length(F.translate(body, SPACES, "")) + 1).cast("long")
+    return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)) + 1).cast("long")
 
 
-def domain(source: Column) -> Column:
-    """Four domains, by the source's name."""
-    return F.concat(F.lit("d"), F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % 4)
+def domain(source: Column, domains: dict[str, str] = DOMAINS) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair]) if domains else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table, F.coalesce(source, F.lit(""))), F.lit(UNLISTED))
 
 
 def dealt(children: DataFrame, parent: list[str], total: str) -> DataFrame:
@@ -92,11 +100,11 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
 
 
 def mix(docs: DataFrame, share: int = SHARE, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] = WEIGHTS, seed: int = SEED,
-        doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain_of: Column | None = None, extra: list[Column] = ()) -> DataFrame:
+        doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain_of: Column | None = None, size: Column | None = None) -> DataFrame:
     """doc_id, epoch, domain, lang, source, tokens, before (tokens of its leaf and epoch ahead of it),
     taken (tokens of it inside the budget): a row for each document and epoch that is taken."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (domain(F.col(source)) if domain_of is None else domain_of).alias("domain"), blank(lang).alias("lang"), blank(source).alias("source"), tokens(F.col(text)).alias("tokens"), *extra)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (domain(F.col(source)) if domain_of is None else domain_of).alias("domain"), blank(lang).alias("lang"), blank(source).alias("source"), (tokens(F.col(text)) if size is None else size.cast("long")).alias("tokens"))
     rows = settle(rows, "mix")
     key = lambda e: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(e).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
@@ -109,8 +117,14 @@ def mix(docs: DataFrame, share: int = SHARE, epochs: int = EPOCHS, weights: dict
         part = part.filter("want > 0").select(*LEVELS, "want")
         keyed = rows.withColumn("order", key(e)).withColumn("range", F.substring("order", 1, RANGE_DIGITS))
         ranges = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("in_range"))
-        ahead = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.withColumn("ahead", F.coalesce(F.sum("in_range").over(ahead), F.lit(0))).join(part, list(LEVELS)).filter("ahead < want")
+        # Two levels of sums, by the first digit and inside it: a leaf is sixteen small windows, not one.
+        ranges = ranges.withColumn("first", F.substring("range", 1, 1))
+        inner = Window.partitionBy(*LEVELS, "first").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.withColumn("inner", F.coalesce(F.sum("in_range").over(inner), F.lit(0)))
+        outer = Window.partitionBy(*LEVELS).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = ranges.groupBy(*LEVELS, "first").agg(F.sum("in_range").alias("n"))
+        firsts = firsts.withColumn("outer", F.coalesce(F.sum("n").over(outer), F.lit(0))).join(part, list(LEVELS)).drop("n")
+        ranges = ranges.join(firsts, [*LEVELS, "first"]).withColumn("ahead", F.col("outer") + F.col("inner")).filter("ahead < want").drop("first", "inner", "outer")
         near = keyed.join(ranges, [*LEVELS, "range"])
         inside = near.withColumn("before", F.lit(None).cast("long")).filter("ahead + in_range <= want")
         at_cut = near.filter("ahead + in_range > want")
@@ -118,8 +132,7 @@ def mix(docs: DataFrame, share: int = SHARE, epochs: int = EPOCHS, weights: dict
         at_cut = at_cut.withColumn("before", F.col("ahead") + F.coalesce(F.sum("tokens").over(up), F.lit(0))).filter("before < want")
         both = inside.unionByName(at_cut)
         taken = F.when(F.col("before").isNull(), F.col("tokens")).otherwise(F.least("tokens", F.col("want") - F.col("before")))
-        names = [c for c in rows.columns if c not in ("doc_id", *LEVELS, "tokens")]
-        both = both.select("doc_id", F.lit(e).alias("epoch"), *LEVELS, "tokens", taken.cast("long").alias("taken"), *names)
+        both = both.select("doc_id", F.lit(e).alias("epoch"), *LEVELS, "tokens", taken.cast("long").alias("taken"))
         out = both if out is None else out.unionByName(both)
     return out
 
@@ -135,9 +148,9 @@ def _sql_weight(level: str) -> str:
 
 def oracle() -> str:
     """The same in DuckDB SQL: budgets level by level, then every leaf fully ordered."""
-    spaces = " || ".join(f"chr({ord(c)})" for c in SPACES)
-    parts = [f"""WITH rows AS (SELECT doc_id, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 2))::INT % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-      CAST(length(coalesce(text, '')) - length(translate(coalesce(text, ''), {spaces}, '')) + 1 AS HUGEINT) AS tokens FROM documents),
+    domains = " ".join(f"WHEN '{source}' THEN '{name}'" for source, name in DOMAINS.items())
+    parts = [f"""WITH rows AS (SELECT doc_id, CASE source {domains} ELSE '{UNLISTED}' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) + 1 AS HUGEINT) AS tokens FROM documents),
     leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM rows GROUP BY ALL),
     root AS (SELECT least(sum(tokens) * {EPOCHS}, sum(tokens) * {SHARE} // 1000) AS of_parent FROM leaves)"""]
     above, known = "root", []
