@@ -75,3 +75,86 @@ def test_patterns_find_unseen_identifiers(spark, tmp_path):
     got = {r.doc_id: r for r in pii.op9_bootstrapped_pii(spark, put(tmp_path, rows)).collect()}
     assert got[70].spans == "phone:16:26" and got[70].n_phone == 0
     assert all(got[k].spans == "" for k in range(40, 70))
+
+
+def luhn(d):
+    return 13 <= len(d) <= 19 and sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+
+def patterns(text, a, b):
+    hit, left, right = text[a:b], text[max(0, a - 24):a], text[b:b + 24]
+    return patterns_of(hit, left, right)
+
+
+def patterns_of(hit, left, right):
+    out = [("=L " if luhn(re.sub("[^0-9]", "", hit)) else "=") + re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]", "0", hit))]
+    left, right = (re.sub("[0-9]", "0", x.lower()) for x in (left, right))
+    two, one, after = re.search(r"(?a:(\S+\s+\S+[ =:\"'(]*)$)", left), re.search(r"(?a:(\S+[ =:\"'(]*)$)", left), re.match(r"(?a:\W*(\w+))", right)
+    if two:
+        out.append("<" + two[1])
+    if one and after:
+        out.append(one[1] + "<>" + after[1])
+    return out
+
+
+def brute(texts):
+    """Added spans of all texts, by dictionaries and loops over the whole graph."""
+    seeds, free = [], []
+    for i, text in texts:
+        spans = [(m.start(), m.end(), k) for k, rule in RULES.items() for m in re.finditer(rule, text) if good(k, m[0])]
+        seeds += [(k, text[a:b], p) for a, b, k in spans for p in patterns(text, a, b)]
+        options = [(m.start(), m.end(), text[max(0, m.start() - 24):m.start()], text[m.end():m.end() + 24]) for m in re.finditer(r"(?<![^ \t\n])[^\s@]{1,64}@[^\s@]{1,64}(?![^\s,;.!?])", text)]
+        for m in re.finditer(r"(?<![0-9A-Za-z.+(-])[+(]?[0-9][0-9().-]*(?: [+(]?[0-9][0-9().-]*)*", text):
+            words, at = m[0].split(" "), m.start()
+            for k, w in enumerate(words):
+                for n in range(1, 5):
+                    if k + n <= len(words):
+                        hit = re.sub(r"[().-]+$", "", " ".join(words[k:k + n]))
+                        left = text[max(0, m.start() - 24):m.start()] if k == 0 else " ".join(words[max(0, k - 2):k]) + " "
+                        right = text[m.end():m.end() + 24] if k + n == len(words) else " " + words[k + n]
+                        if len(re.sub("[^0-9]", "", hit)) >= 6 and len(hit) <= 64:
+                            options.append((at, at + len(hit), left, right))
+                at += len(w) + 1
+        free += [(i, a, b, text[a:b], p) for a, b, left, right in options if not any(s < b and a < e for s, e, _ in spans) for p in patterns_of(text[a:b], left, right)]
+    of = {}
+    for k, hit, p in set(seeds):
+        of.setdefault(p, {}).setdefault(k, set()).add(hit)
+    strong = {(p, k): len(hits) for p, kinds in of.items() for k, hits in kinds.items() if len(hits) >= pii.SUPPORT}
+    every = {p: len(set().union(*kinds.values())) for p, kinds in of.items()}
+    pairs = {(p, hit) for *_, hit, p in free if any(q == p for q, _ in strong)}
+    belief = {}
+    for _ in range(pii.ROUNDS):
+        trust = {}
+        for (p, k), n in strong.items():
+            own = [hit for q, hit in pairs if q == p]
+            trust[p, k] = (n + sum(belief.get((hit, k), 0) for hit in own)) / (every[p] + len(own) + pii.BELIEF)
+        belief = {}
+        for p, hit in pairs:
+            for (q, k), x in trust.items():
+                if q == p:
+                    belief[hit, k] = max(x, belief.get((hit, k), 0))
+    best = {}
+    for i, a, b, hit, p in free:
+        for (q, k), x in trust.items():
+            if q == p and x >= pii.CONFIDENT:
+                best[i, a, b] = max(best.get((i, a, b), (0, "", "")), (x, k, hit))
+    out, reached = [], {}
+    for (i, a, b), (x, k, hit) in sorted(best.items(), key=lambda r: (r[0][0], r[0][1], -r[0][2])):
+        if good(k, hit) and reached.get(i, 0) <= a:
+            out.append((i, k, a, b))
+        if good(k, hit):
+            reached[i] = max(b, reached.get(i, 0))
+    return sorted(out)
+
+
+def test_added_spans_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = documents(spark, sf).select("doc_id", "text")
+    extra = [(10_000 + k, f"call us: +1 (203) 555-{k:04d} today") for k in range(30)] + [(11_000, "call us: +1 (203) 555-9999 10.20.30.40 today"), (11_001, "call us: 2035559999 today"), (11_002, "call us: 256.1.1.1 4111 1111 1111 1111 +1 (203) 555-0001")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    found = pii.find(docs)
+    got = sorted((r.doc_id, s.kind, s.start, s.end) for r in found.collect() for s in r.spans if not s.base)
+    want = brute(texts)
+    assert got == want
+    assert (11_000, "phone", 9, 26) in want and len(want) >= 4

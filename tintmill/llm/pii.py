@@ -1,19 +1,26 @@
 """Personal data by rules, and by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base rules find e-mail addresses, IP addresses, card and phone numbers. Their finds are seeds. The
-words around a seed are its pattern; a pattern also stands around other things of an identifier's
-shape that no rule accepts (candidates). Patterns and instances form a bipartite graph, scored in
-rounds: a pattern's score for a kind is the share of its instances, weighted by their scores, that
-are of that kind (with BELIEF doubtful ones added); a candidate's score is that of its best pattern.
-Candidates that reach CONFIDENT with a pattern of at least SUPPORT different seeds become spans; base
-spans always stay. Spans are counted in code points.
-
-The text is read once: each row's finds, with a few characters around them, go to a durable table,
-and all rounds work on that. Sums over a pattern are combined before they are shuffled.
+Base rules find e-mail addresses, IP addresses, card and phone numbers. Their finds are seeds. A seed
+induces lexical patterns: its own shape (digits as 0, letters as a, and whether a card's check digit
+holds), the two words before it, and the word on each side of it. Patterns also fit candidates, things
+that look like identifiers and overlap no base span: one to WINDOW neighbouring words of digits, with
+six digits at least, or a word with @. So a phone number that a rule lost, because digits followed it
+and it looked too long, is found again by its shape. Patterns and instances form a bipartite graph,
+scored in rounds: a pattern's score for a kind is the share of its instances, weighted by their
+scores, that are of that kind (with BELIEF doubtful ones added); a candidate's score is that of its
+best pattern. Candidates that reach CONFIDENT with a pattern of at least SUPPORT different seeds, and
+that keep the kind's own rules for digits, become spans; base spans always stay. Of overlapping ones
+the leftmost stays, and of those the longest. Spans are counted in code points.
+
+The text is read once: each row's finds, with AROUND code points on each side, go to a durable table,
+and all rounds work on that. Words of a context that lie further off are cut there. Sums over a
+pattern are combined before they are shuffled; a pattern that many candidates share is left to
+adaptive splitting of skewed joins.
 
 Defined cases: null text counts as empty and has no spans; overlapping kinds are all reported (each
-kind matches by itself); a candidate that overlaps a base span of its row is left out; repeated rows
-are searched each; null doc_id is carried; an empty table gives no rows; other columns are not read.
+kind matches by itself); repeated rows are searched each; null doc_id is carried; a very long text or
+run of digits is searched whole, in time linear in it; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +40,12 @@ MATCH = {
     "card": r"[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What a candidate looks like: a word with @, or digits with separators, six characters at least.
-SHAPE = r"(?<![^ \t\n])(?:[^\s@]{1,64}@[^\s@]{1,64}|[(]?[0-9][0-9A-Za-z().\-]{4,38}[0-9])(?![^ \t\n,;.!?])"
+#: Words that candidates are made of: words with @, and runs of words of digits.
+LOOSE = {
+    "at": r"(?<![^ \t\n])[^\s@]{1,64}+@[^\s@]{1,64}+(?![^\s,;.!?])",
+    "run": r"(?<![0-9A-Za-z.+(-])[+(]?[0-9][0-9().-]*+(?: [+(]?[0-9][0-9().-]*+)*+",
+}
+WINDOW, LEAST_DIGITS = 4, 6
 ROUNDS, BELIEF, CONFIDENT, SUPPORT = 3, 1.0, 0.8, 5
 AROUND = 24
 
@@ -70,46 +81,80 @@ def _finds(text: Column, pattern: str, possible: Column) -> Column:
 
 
 def search(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All rows (row, doc_id), and matches in place: row, kind ('' for shapes), start, end, hit, left, right."""
+    """All rows (row, doc_id), and matches in place: row, kind (or 'at', 'run'), n, start, end, hit, left, right."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), body.alias("body"))
-    rows = rows.withColumns({"digits": F.col("body").rlike("[0-9]"), "at": F.contains("body", F.lit("@"))})
-    may = {"email": F.col("at"), "ip": F.col("digits"), "card": F.col("digits"), "phone": F.contains("body", F.lit("+")), "": F.col("digits") | F.col("at")}
-    finds = [_finds(F.col("body"), MATCH.get(k, SHAPE), may[k]).alias(k or "shape") for k in (*KINDS, "")]
-    table = settle(rows.select("row", "doc_id", *finds), "finds")
+    rows = rows.withColumns({"digits": F.col("body").rlike("[0-9]"), "with_at": F.contains("body", F.lit("@"))})
+    may = {"email": F.col("with_at"), "ip": F.col("digits"), "card": F.col("digits"), "phone": F.contains("body", F.lit("+")), "at": F.col("with_at"), "run": F.col("digits")}
+    rules = MATCH | LOOSE
+    table = settle(rows.select("row", "doc_id", *[_finds(F.col("body"), rule, may[k]).alias(k) for k, rule in rules.items()]), "finds")
     # A column for each kind: a generator then carries nothing but the row's number beside each match.
     each = None
-    for k in (*KINDS, ""):
-        own = table.select("row", F.posexplode(k or "shape").alias("n", "m")).select("row", F.lit(k).alias("kind"), "n", "m")
+    for k in rules:
+        own = table.select("row", F.posexplode(k).alias("n", "m")).select("row", F.lit(k).alias("kind"), "n", "m")
         each = own if each is None else each.unionAll(own)
     upto = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("m.hit")
     each = each.withColumn("end", F.sum(F.col("m.gap") + size).over(upto))
-    return table.select("row", "doc_id"), each.select("row", "kind", (F.col("end") - size).alias("start"), "end", "m.hit", "m.left", "m.right")
+    return table.select("row", "doc_id"), each.select("row", "kind", "n", (F.col("end") - size).alias("start"), "end", "m.hit", "m.left", "m.right")
+
+
+def candidates(matches: DataFrame) -> DataFrame:
+    """row, start, end, hit, left, right: words with @, and windows of WINDOW words at most over runs
+    of words of digits; brackets and points at their end are left off."""
+    runs = matches.filter("kind = 'run'")
+    words = runs.select("row", "n", F.col("start").alias("from"), "left", "right", F.posexplode(F.split("hit", " ")).alias("k", "word"))
+    order = Window.partitionBy("row", "n").orderBy("k")
+    before = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = {f"w{k}": F.lead("word", k).over(order) for k in range(1, WINDOW + 1)} | {f"b{k}": F.lag("word", k).over(order) for k in (1, 2)}
+    words = words.withColumns({"start": F.col("from") + before, "w0": F.col("word"), **near})
+    left = F.when(F.col("b1").isNull(), F.col("left")).otherwise(F.concat_ws(" ", "b2", "b1", F.lit("")))
+    options = []
+    for k in range(1, WINDOW + 1):
+        hit = F.regexp_replace(F.concat_ws(" ", *[f"w{j}" for j in range(k)]), r"[().-]+$", "")
+        right = F.when(F.col(f"w{k}").isNull(), F.col("right")).otherwise(F.concat(F.lit(" "), F.col(f"w{k}")))
+        options.append(F.when(F.col(f"w{k - 1}").isNotNull(), F.struct(hit.alias("hit"), right.alias("right"))))
+    windows = words.select("row", "start", left.alias("left"), F.explode(F.array_compact(F.array(*options))).alias("o"))
+    windows = windows.select("row", "start", (F.col("start") + F.length("o.hit")).alias("end"), "o.hit", "left", "o.right")
+    windows = windows.filter((F.length(_digits(F.col("hit"))) >= LEAST_DIGITS) & (F.length("hit") <= 64))
+    return windows.unionByName(matches.filter("kind = 'at'").select(*windows.columns))
 
 
 def base_spans(matches: DataFrame) -> DataFrame:
-    return matches.filter((F.col("kind") != "") & valid(F.col("kind"), F.col("hit")))
+    return matches.filter(F.col("kind").isin(*KINDS) & valid(F.col("kind"), F.col("hit")))
+
+
+def shape(hit: Column) -> Column:
+    """Digits as 0, runs of letters as a; a mark where 13 to 19 digits keep a card's check digit."""
+    digits = _digits(hit)
+    card = F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
+    return F.concat(F.when(card, "=L ").otherwise("="), F.regexp_replace(F.regexp_replace(hit, "[0-9]", "0"), r"\p{L}+", "a"))
 
 
-def _contexts(spans: DataFrame) -> DataFrame:
-    """spans with their patterns, a row for each: the two words before, and one word on each side.
-    Words at the cut of the surroundings count as they stand; a side without a word gives no pattern."""
+def _patterns(spans: DataFrame) -> DataFrame:
+    """spans with their patterns, a row for each: their shape, the two words before, and one word on
+    each side. Words at the cut of the surroundings count as they stand; a side without a word gives
+    no pattern."""
     plain = lambda c: F.regexp_replace(F.lower(F.col(c)), "[0-9]", "0")
     two = F.regexp_extract(plain("left"), r"(\S+\s+\S+[ =:\"'(]*)$", 1)
     one = F.regexp_extract(plain("left"), r"(\S+[ =:\"'(]*)$", 1)
     after = F.regexp_extract(plain("right"), r"^\W*(\w+)", 1)
-    patterns = F.array_compact(F.array(F.when(two != "", F.concat(F.lit("<"), two)), F.when((one != "") & (after != ""), F.concat(one, F.lit("<>"), after))))
+    patterns = F.array_compact(F.array(shape(F.col("hit")), F.when(two != "", F.concat(F.lit("<"), two)), F.when((one != "") & (after != ""), F.concat(one, F.lit("<>"), after))))
     return spans.select("*", F.explode(patterns).alias("pattern"))
 
 
 def bootstrap(matches: DataFrame, base: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """Added spans: row, kind, start, end."""
-    seeds = _contexts(base).select("pattern", "kind", F.xxhash64("hit").alias("instance")).distinct()
-    shapes = matches.filter("kind = ''")
-    taken = base.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    over = shapes.join(taken, "row").filter("start < e and s < end").select("row", "start").distinct()
-    free = settle(_contexts(shapes.join(over, ["row", "start"], "left_anti")).select("row", "start", "end", "pattern", F.xxhash64("hit").alias("instance")), "candidates")
+    seeds = _patterns(base).select("pattern", "kind", F.xxhash64("hit").alias("instance")).distinct()
+    # What overlaps a base span is no candidate. In order of starts, the base spans that begin before a
+    # candidate ends are met by the greatest end so far, and those inside it by the next start.
+    loose = candidates(matches).withColumn("base", F.lit(0))
+    marks = loose.unionByName(base.select(*[c for c in loose.columns if c != "base"], F.lit(1).alias("base")))
+    upto = Window.partitionBy("row").orderBy("start", F.desc("base")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("base")).rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumns({"reached": F.max(F.when(F.col("base") == 1, F.col("end"))).over(upto), "next": F.min(F.when(F.col("base") == 1, F.col("start"))).over(after)})
+    free = marks.filter("base = 0 and coalesce(reached, 0) <= start and coalesce(next, end) >= end")
+    free = settle(_patterns(free).select("row", "start", "end", "hit", "pattern", F.xxhash64("hit").alias("instance")), "candidates")
     # Only patterns that some seeds of a kind support can ever be confident.
     strong = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     totals = seeds.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("all_seeds"))
@@ -129,7 +174,10 @@ def bootstrap(matches: DataFrame, base: DataFrame, rounds: int = ROUNDS, confide
         belief = settle(pairs.join(scored, "pattern").groupBy("instance", "kind").agg(F.max("trust").alias("score")), "belief")
         trusted = scored
     trusted = settle(trusted.filter(F.col("trust") >= confident), "trusted")
-    best = free.join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
+    best = free.join(trusted, "pattern").groupBy("row", "start", "end", "hit").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
+    best = best.filter(valid(F.col("kind"), F.col("hit")))
+    earlier = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("reached", F.max("end").over(earlier)).filter("coalesce(reached, 0) <= start")
     return best.select("row", "kind", "start", "end")
 
 
