@@ -1,17 +1,21 @@
 """Interleaved document sequences with a media column.
 
 `sequences` parses HTML into ordered items: text, and references to media by digest with their
-captions; items keep their position. `resolve` joins references to a store of payloads by digest,
-so a payload that many pages show is stored, moved and decoded once. `store` makes such a store:
-each payload becomes an 8-bit grey PNG (24 samples a row), written and read back without loss.
-
-The query makes a page of each document (a caption, a figure that refers to the text's payload and
-its caption), parses it, and resolves the reference.
-
-Defined cases: null text counts as empty (one row of padding); equal payloads share one stored form;
-pages that are null or have no reference give text items or nothing; a reference without a payload
-stays, with null values; repeated rows are resolved each; an empty table gives no rows; other columns
-are not read.
+captions; items keep their position. `resolve` joins references to a store of payloads by digest.
+`store` makes such a store: each payload becomes an 8-bit grey PNG (WIDTH samples a row), once for
+each task that meets it, and one form of each digest is kept; it is read back without loss.
+
+The query interleaves each document: its text is cut into pieces of PIECE code points, its payload
+(UTF-8, padded) into parts of PART bytes, and its page holds piece and figure in turn, each figure with
+a caption that tells its bytes. The page is parsed; references are resolved by digest; the parts that
+come back are put together by position, after their captions are held against their sizes, and digests
+and features are computed from them. Pages that are equal are resolved once. So a document of several
+parts has several ordered references, and no task holds more than one document's payload beside its own.
+
+Defined cases: null text counts as empty (one row of padding, no text item); equal texts have equal
+values; a very long text has many pieces and parts, which meet again in one row; pages that are null
+or have no reference give text items or nothing; a reference without a payload stays, with null
+values; repeated rows are resolved each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintmill.llm.shared import documents
+from tintmill.llm.shared import documents, settle
 
 UNIT, WIDTH = 576, 24
+#: Bytes of a part of a payload, a multiple of UNIT; code points of a piece of text.
+PART, PIECE = 64 * UNIT, 32_768
+#: Digests that a task remembers as stored.
+REMEMBERED = 1 << 16
 #: The signature that begins every PNG file: a fixed value of the format.
 PNG = b"\x89PNG\r\n\x1a\n"
 SCHEME = "sha256:"
@@ -90,31 +98,47 @@ def store(payloads: DataFrame) -> DataFrame:
     """payloads (digest, payload, repeats allowed) to a row for each digest: digest, media."""
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                yield pa.record_batch({"digest": part.column(0), "media": pa.array([to_png(x) for x in part.column(1).to_pylist()], pa.binary())})
+                new = []
+                for k, digest in enumerate(part.column(0).to_pylist()):
+                    if digest not in seen:
+                        new.append(k)
+                        seen.add(digest)
+                if len(seen) > REMEMBERED:  # repeats after that are stored again, and meet below
+                    seen = set()
+                own = part.take(pa.array(new, pa.int64()))
+                yield pa.record_batch({"digest": own.column(0), "media": pa.array([to_png(x) for x in own.column(1).to_pylist()], pa.binary())})
 
     encoded = payloads.select("digest", "payload").mapInArrow(encode, "digest string, media binary")
     return encoded.groupBy("digest").agg(F.first("media").alias("media"))
 
 
-def described(stored: DataFrame) -> DataFrame:
-    """stored (digest, media), read back: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature of each digest."""
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def described(pages: DataFrame) -> DataFrame:
+    """pages (page, items: array of position, caption, media) to a row for each: the media in order of
+    their positions, read back and put together, and what follows from that."""
+    schema = "page string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_media long, positions string, captions string"
 
     def decode(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                samples = from_png(media)
-                out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
-
-    return stored.select("digest", "media").mapInArrow(decode, schema)
+            for k in range(batch.num_rows):
+                items = sorted(batch.column(1)[k].as_py(), key=lambda x: x["position"])
+                parts = [from_png(x["media"]) for x in items]
+                at = 0
+                for item, part in zip(items, parts):
+                    if item["caption"] != f"bytes {at} to {at + len(part)}":
+                        raise ValueError(f"{item['caption']!r} stands beside {len(part)} bytes from {at}")
+                    at += len(part)
+                samples, media = b"".join(parts), b"".join(x["media"] for x in items)
+                places, captions = (",".join(str(x[name]) for x in items) for name in ("position", "caption"))
+                out.append((batch.column(0)[k].as_py(), at, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), len(items), places, captions))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return pages.select("page", "items").mapInArrow(decode, schema)
 
 
 class _Items(HTMLParser):
@@ -122,10 +146,12 @@ class _Items(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.words, self.caption, self.open, self.silent = [], [], None, [], 0
+        self.items, self.words, self.caption, self.open, self.silent, self.exact = [], [], None, [], 0, False
 
     def flush(self):
-        text = " ".join("".join(self.words).split())
+        text = "".join(self.words)
+        if not self.exact:
+            text = " ".join(text.split())
         if text:
             self.items.append(["text", text, None, None])
         self.words = []
@@ -133,6 +159,9 @@ class _Items(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.silent += 1
+        elif tag == "pre":  # what stands inside is kept as it is
+            self.flush()
+            self.exact = True
         elif tag == "figure":
             self.flush()
             self.open.append(len(self.items))
@@ -149,6 +178,9 @@ class _Items(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
+        elif tag == "pre":
+            self.flush()
+            self.exact = False
         elif tag == "figcaption" and self.caption is not None:
             caption = " ".join("".join(self.caption).split())
             for item in self.items[self.open[-1] if self.open else len(self.items):]:
@@ -191,12 +223,50 @@ def resolve(items: DataFrame, stored: DataFrame) -> DataFrame:
     return items.join(theirs, items["digest"] == theirs["__digest"], "left").drop("__digest")
 
 
+def parts_of(raw: Column) -> Column:
+    """A payload as an array of its parts, with digest and place."""
+    places = F.sequence(F.lit(0), F.ceil(F.octet_length(raw) / PART).cast("int") - 1)
+    cut = lambda k: F.substring(raw, k * PART + 1, F.lit(PART))
+    return F.transform(places, lambda k: F.struct(k.alias("k"), F.sha2(cut(k), 256).alias("digest"), cut(k).alias("payload")))
+
+
+def page_of(text: Column, parts: Column) -> Column:
+    """The page of a document: pieces of its text and figures of its parts in turn, as long as there are
+    any; a figure's caption tells which bytes of the payload it holds."""
+    escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    n_pieces = F.ceil(F.length(text) / PIECE).cast("int")
+    turns = F.sequence(F.lit(0), F.greatest(n_pieces, F.size(parts)) - 1)
+
+    def turn(k: Column) -> Column:
+        piece = F.when(k < n_pieces, F.concat(F.lit("<pre>"), escape(F.substring(text, k * PIECE + 1, F.lit(PIECE))), F.lit("</pre>"))).otherwise("")
+        part = F.get(parts, k)
+        size = F.octet_length(part["payload"])
+        caption = F.concat(F.lit("bytes "), (k * PART).cast("string"), F.lit(" to "), (k * PART + size).cast("string"))
+        figure = F.concat(F.lit(f"<figure><img src='{SCHEME}"), part["digest"], F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+        return F.concat(piece, F.when(k < F.size(parts), figure).otherwise(""))
+
+    return F.concat(F.lit("<article>"), F.array_join(F.transform(turns, turn), ""), F.lit("</article>"))
+
+
+def media_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_bytes, what the media say about the payload, the positions
+    and captions of the media, and the number and bytes of the text items around them."""
+    raw, size = payload(F.col(text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), size.alias("n_bytes"), raw.alias("payload"))
+    rows = rows.withColumn("page", F.sha2("payload", 256))
+    parts = rows.select("page", "text", parts_of(F.col("payload")).alias("parts"))
+    stored = store(parts.select(F.explode("parts").alias("p")).select("p.digest", "p.payload"))
+    items = sequences(parts.select("page", page_of(F.col("text"), F.col("parts")).alias("html")), "page")
+    # Texts stay where they are parsed: what goes on is their size. Equal pages are one from here on.
+    items = items.select("key", "position", "kind", "digest", "caption", F.octet_length("text").cast("long").alias("text_bytes")).distinct()
+    items = settle(items, "media-items")
+    texts = items.filter("kind = 'text'").groupBy("key").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("text_bytes").alias("text_bytes"))
+    found = resolve(items.filter("kind = 'media'").select("key", "position", "digest", "caption"), stored)
+    pages = found.groupBy("key").agg(F.collect_list(F.struct("position", "caption", "media")).alias("items"))
+    told = described(pages.withColumnRenamed("key", "page")).join(texts.withColumnRenamed("key", "page"), "page", "left")
+    told = settle(told.na.fill(0, ["n_texts", "text_bytes"]), "media-pages")
+    return rows.select("doc_id", "n_bytes", "page").join(told.withColumnRenamed("page", "__page"), F.col("page") == F.col("__page")).drop("page", "__page")
+
+
 def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, size = payload(F.col("text"))
-    docs = documents(spark, sf_dir)
-    rows = docs.select("doc_id", size.alias("n_bytes"), raw.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    caption = F.concat(F.lit("bytes "), F.col("n_bytes").cast("string"))
-    page = F.concat(F.lit("<article><p>document</p><figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
-    items = sequences(rows.select(F.struct("doc_id", "n_bytes").alias("page"), page.alias("html")), "page")
-    found = resolve(items.filter("kind = 'media'"), described(store(rows)))
-    return found.select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return media_of(documents(spark, sf_dir))
