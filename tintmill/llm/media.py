@@ -53,7 +53,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return PNG + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return PNG + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def from_png(media: bytes) -> bytes:
@@ -116,29 +116,54 @@ def store(payloads: DataFrame) -> DataFrame:
     return encoded.groupBy("digest").agg(F.first("media").alias("media"))
 
 
-def described(pages: DataFrame) -> DataFrame:
-    """pages (page, items: array of position, caption, media) to a row for each: the media in order of
-    their positions, read back and put together, and what follows from that."""
-    schema = "page string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_media long, positions string, captions string"
+TOLD = {
+    "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(),
+    "feature": pa.string(), "n_media": pa.int64(), "positions": pa.string(), "captions": pa.string(),
+}
+TOLD_SQL = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string'}" for name, kind in TOLD.items())
 
-    def decode(batches) -> Iterator[pa.RecordBatch]:
+
+def _tell(items: list[dict]) -> tuple:
+    """The media of a page in order of their positions, read back and put together, and what follows from that."""
+    items = sorted(items, key=lambda x: x["position"])
+    parts = [from_png(x["media"]) for x in items]
+    at = 0
+    for item, part in zip(items, parts):
+        if item["caption"] != f"bytes {at} to {at + len(part)}":
+            raise ValueError(f"{item['caption']!r} stands beside {len(part)} bytes from {at}")
+        at += len(part)
+    samples, media = b"".join(parts), b"".join(x["media"] for x in items)
+    places, captions = (",".join(str(x[name]) for x in items) for name in ("position", "caption"))
+    return at, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), len(items), places, captions
+
+
+def described(found: DataFrame) -> DataFrame:
+    """found (page, n: references of the page, position, caption, media) to a row for each page. A page's
+    only reference is read where its digest met the store; only media of pages with several move on."""
+
+    def alone(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, media = [], []
+            for k in range(batch.num_rows):
+                item = {name: batch.column(name)[k].as_py() for name in ("position", "caption", "media")}
+                single = batch.column("n")[k].as_py() == 1
+                told.append(_tell([item]) if single else (None,) * len(TOLD))
+                media.append(None if single else item["media"])
+            own = [batch.column(name) for name in ("page", "position", "caption")] + [pa.array(media, pa.binary())]
+            yield pa.record_batch(own + [pa.array([r[k] for r in told], kind) for k, kind in enumerate(TOLD.values())], ["page", "position", "caption", "media", *TOLD])
+
+    def together(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                items = sorted(batch.column(1)[k].as_py(), key=lambda x: x["position"])
-                parts = [from_png(x["media"]) for x in items]
-                at = 0
-                for item, part in zip(items, parts):
-                    if item["caption"] != f"bytes {at} to {at + len(part)}":
-                        raise ValueError(f"{item['caption']!r} stands beside {len(part)} bytes from {at}")
-                    at += len(part)
-                samples, media = b"".join(parts), b"".join(x["media"] for x in items)
-                places, captions = (",".join(str(x[name]) for x in items) for name in ("position", "caption"))
-                out.append((batch.column(0)[k].as_py(), at, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), len(items), places, captions))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in schema.split(", ")])
-
-    return pages.select("page", "items").mapInArrow(decode, schema)
+                known = tuple(batch.column(name)[k].as_py() for name in TOLD)
+                out.append(_tell(batch.column("items")[k].as_py()) if known[0] is None else known)
+            yield pa.record_batch([batch.column("page"), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(TOLD.values()))], ["page", *TOLD])
+
+    each = found.select("page", "n", "position", "caption", "media").mapInArrow(alone, f"page string, position long, caption string, media binary, {TOLD_SQL}")
+    item = F.when(F.col("media").isNotNull(), F.struct("position", "caption", "media"))
+    pages = each.groupBy("page").agg(F.collect_list(item).alias("items"), *[F.max(name).alias(name) for name in TOLD])
+    return pages.select("page", "items", *TOLD).mapInArrow(together, f"page string, {TOLD_SQL}")
 
 
 class _Items(HTMLParser):
@@ -260,11 +285,12 @@ def media_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # Texts stay where they are parsed: what goes on is their size. Equal pages are one from here on.
     items = items.select("key", "position", "kind", "digest", "caption", F.octet_length("text").cast("long").alias("text_bytes")).distinct()
     items = settle(items, "media-items")
-    texts = items.filter("kind = 'text'").groupBy("key").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("text_bytes").alias("text_bytes"))
-    found = resolve(items.filter("kind = 'media'").select("key", "position", "digest", "caption"), stored)
-    pages = found.groupBy("key").agg(F.collect_list(F.struct("position", "caption", "media")).alias("items"))
-    told = described(pages.withColumnRenamed("key", "page")).join(texts.withColumnRenamed("key", "page"), "page", "left")
-    told = settle(told.na.fill(0, ["n_texts", "text_bytes"]), "media-pages")
+    is_text = F.col("kind") == "text"
+    pages = items.groupBy("key").agg(F.count_if(~is_text).alias("n"), F.count_if(is_text).alias("n_texts"), F.coalesce(F.sum("text_bytes"), F.lit(0)).alias("text_bytes"))
+    pages = settle(pages.withColumnRenamed("key", "page"), "media-pages")
+    asked = items.filter(~is_text).select(F.col("key").alias("page"), "position", "digest", "caption").join(pages.select("page", "n"), "page")
+    told = described(resolve(asked, stored)).join(pages.drop("n"), "page")
+    told = settle(told, "media-told")
     return rows.select("doc_id", "n_bytes", "page").join(told.withColumnRenamed("page", "__page"), F.col("page") == F.col("__page")).drop("page", "__page")
 
 
