@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +57,14 @@ def clear_settled(spark: SparkSession, keep: int = 0) -> None:
     del _made[keep:]
 
 
-@contextmanager
-def passing(spark: SparkSession):
-    """Tables settled inside are deleted at the end; whatever is made of them must be written by then."""
+def settle_stage(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The settled result of make(); the tables that make() settled on the way are deleted."""
     before = len(_made)
-    try:
-        yield
-    finally:
-        clear_settled(spark, before)
+    table = settle(make(), tag)
+    own = _made.pop()
+    clear_settled(spark, before)
+    _made.append(own)
+    return table
 
 
 def slots(spark: SparkSession) -> int:
