@@ -9,6 +9,7 @@ from tintmill.llm import shared
 def test_a_stage_leaves_its_result_alone(spark):
     shared.clear_settled(spark)
     folder = Path(shared.shared_dir(spark)) / "settled"
+    folder.mkdir(parents=True, exist_ok=True)
 
     def make():
         return shared.settle(shared.settle(spark.range(5), "a"), "b").filter("id > 1")
