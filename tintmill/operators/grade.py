@@ -81,6 +81,16 @@ def perceptual(strength: float, gamma: float) -> float:
     return strength**gamma
 
 
+def strength_of(foundation_only: Column, strength: Column, gamma: float) -> Column:
+    """A strength as the eye sees it, by one mapping for all; none where only the foundation is asked for."""
+    return F.when(foundation_only, 0.0).otherwise(F.pow(strength, gamma))
+
+
+def towards(neutral: float, target: Column, strength: Column) -> Column:
+    """A parameter, or the height of a curve's point, between neutral and target."""
+    return (target - neutral) * strength + neutral
+
+
 def radial(v: Column, x: Column, y: Column, centre: tuple[float, float], radius: float, shade: float) -> Column:
     """v darkened away from a centre; x and y are shares of width and height."""
     return v * (F.lit(1.0) - F.least(F.lit(1.0), F.hypot(x - centre[0], y - centre[1]) / radius) * min(0.2, shade))

@@ -112,3 +112,9 @@ def changed(fields: list[str], bound: str, found: str) -> Column:
 def stacked(named: dict[str, DataFrame]) -> DataFrame:
     """Results of several checks below each other, each with its name."""
     return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("check"), "*") for n, df in named.items()])
+
+
+def stable_seed(*parts: str) -> Column:
+    """The first 32 bits of the digest of joined parts, as a number; a null part counts as empty."""
+    joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])
+    return F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("long")
