@@ -175,22 +175,26 @@ def _names(pixels: DataFrame) -> DataFrame:
     return rows.select("frame_id", F.col("idx").cast("long"), colour.hex_code(F.col("r"), F.col("g"), F.col("b")).alias("hex"), colour.css_oklch(light, c, h).alias("css"), labels.hue_family(h).alias("family"), labels.plausible_skin(light, c, h).alias("skin"), labels.tone_role(light).alias("role"))
 
 
-@query(f"""WITH {fixtures.SCENES_SQL}, {sql.oklab()}, one AS (SELECT frame_id, CAST(idx AS BIGINT) AS idx, r, g, b, okl, {sql.hypot('oka', 'okb')} AS c, {sql.hue('oka', 'okb')} AS hue FROM lab WHERE idx < 64)
-SELECT frame_id, idx, printf('#%02X%02X%02X', r, g, b) AS hex, CASE WHEN c < 2e-3 THEN printf('oklch(%.1f%% 0 none)', okl * 100) ELSE printf('oklch(%.1f%% %.4f %.1f)', okl * 100, c, hue) END AS css,
-  {sql.cases('hue', labels.HUE_FAMILIES, labels.HUE_FAMILIES[0][1])} AS family, okl BETWEEN 4e-1 AND 9.2e-1 AND c BETWEEN 2e-2 AND 1.15e-1 AND hue BETWEEN 25 AND 85 AS skin,
-  CASE WHEN okl < 3.5e-1 THEN '{labels.TONE_ROLES['shadow']}' WHEN okl > 7e-1 THEN '{labels.TONE_ROLES['highlight']}' ELSE '{labels.TONE_ROLES['mid']}' END AS role FROM one""")
+_NAMED_SQL = f"""WITH {fixtures.SCENES_SQL}, {sql.oklab()}, one AS (
+  SELECT frame_id, CAST(idx AS BIGINT) AS idx, r, g, b, okl, {sql.hypot('oka', 'okb')} AS c, {sql.hue('oka', 'okb')} AS hue FROM lab)
+SELECT frame_id, idx, printf('#%02X%02X%02X', r, g, b) AS hex,
+  CASE WHEN c < 2e-3 THEN printf('oklch(%.1f%% 0 none)', okl * 100) ELSE printf('oklch(%.1f%% %.4f %.1f)', okl * 100, c, hue) END AS css,
+  {sql.cases('hue', labels.HUE_FAMILIES, labels.HUE_FAMILIES[0][1])} AS family,
+  okl BETWEEN 4e-1 AND 9.2e-1 AND c BETWEEN 2e-2 AND 1.15e-1 AND hue BETWEEN 25 AND 85 AS skin,
+  CASE WHEN okl < 3.5e-1 THEN '{labels.TONE_ROLES['shadow']}' WHEN okl > 7e-1 THEN '{labels.TONE_ROLES['highlight']}'
+    ELSE '{labels.TONE_ROLES['mid']}' END AS role FROM one"""
+
+
+@query(_NAMED_SQL)
 def colour_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hex and CSS text, hue family, tone role, skin likelihood of a frame's first two rows."""
-    return _names(fixtures.scenes(spark, sf_dir).filter("idx < 64"))
+    """Hex and CSS text, hue family, tone role, skin likelihood of every pixel of every frame."""
+    return _names(fixtures.scenes(spark, sf_dir))
 
 
-@query(f"""WITH {fixtures.SCENES_SQL}, {sql.oklab()}, one AS (SELECT frame_id, CAST(idx AS BIGINT) AS idx, r, g, b, okl, {sql.hypot('oka', 'okb')} AS c, {sql.hue('oka', 'okb')} AS hue FROM lab)
-SELECT frame_id, idx, printf('#%02X%02X%02X', r, g, b) AS hex, CASE WHEN c < 2e-3 THEN printf('oklch(%.1f%% 0 none)', okl * 100) ELSE printf('oklch(%.1f%% %.4f %.1f)', okl * 100, c, hue) END AS css,
-  {sql.cases('hue', labels.HUE_FAMILIES, labels.HUE_FAMILIES[0][1])} AS family, okl BETWEEN 4e-1 AND 9.2e-1 AND c BETWEEN 2e-2 AND 1.15e-1 AND hue BETWEEN 25 AND 85 AS skin,
-  CASE WHEN okl < 3.5e-1 THEN '{labels.TONE_ROLES['shadow']}' WHEN okl > 7e-1 THEN '{labels.TONE_ROLES['highlight']}' ELSE '{labels.TONE_ROLES['mid']}' END AS role FROM one""")
+@query(_NAMED_SQL)
 def colour_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every pixel of every frame."""
-    return _names(fixtures.scenes(spark, sf_dir))
+    """The older name of colour_names, from when that query stopped at a frame's second row."""
+    return colour_names(spark, sf_dir)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
