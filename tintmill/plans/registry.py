@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tintmill.plans import fields, frames, records, regions, sequences, treatments  # noqa: F401
+    from tintmill.plans import coverage, fields, frames, matching, records, regions, sequences, treatments  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
