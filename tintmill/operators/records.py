@@ -7,12 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requests that a user may make, each with the test that a recipe fails by; others are reported.
+# Terms to avoid, by what they speak against, and the parts of a colour tag that count as warm or cool.
+WARM_TERMS = ("黄红", "暖调", "偏黄", "偏红", "暖黄", "暖红")
+COOL_TERMS = ("冷调", "偏蓝", "青蓝", "冷青")
+VIVID_TERMS = ("高饱和", "浓艳", "鲜艳")
+FADED_TERMS = ("低饱和", "寡淡", "褪色")
+WARM_TAGS, COOL_TAGS = "warm|amber|gold|orange|red", "cool|blue|cyan"
+
+#: Requests that a user may make, each with the test that a recipe fails by; others are reported. The four
+#: English terms look at numbers alone, the fixed terms at the recipe's colour tag too.
 AVOIDABLE = {
     "warm": "temperature > 3e-2",
     "cold": "temperature < -3e-2",
     "vivid": "saturation > 1.12e0",
     "faded": "saturation < 9e-1",
+    **dict.fromkeys(WARM_TERMS, f"temperature > 3e-2 OR coalesce(lower(tag) RLIKE '{WARM_TAGS}', false)"),
+    **dict.fromkeys(COOL_TERMS, f"temperature < -3e-2 OR coalesce(lower(tag) RLIKE '{COOL_TAGS}', false)"),
+    **dict.fromkeys(VIVID_TERMS, "saturation > 1.12e0"),
+    **dict.fromkeys(FADED_TERMS, "saturation < 9e-1"),
 }
 
 
@@ -43,6 +55,56 @@ def remembered(options: DataFrame, rejected: DataFrame) -> DataFrame:
     return rows.withColumn("memory", memory).drop("__same", "__any")
 
 
+def demoted(options: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Options in their order, those after the rest that were rejected for the same source, recipe and strength.
+
+    options: source_sha, recipe_id, strength, place; ledger: source_sha, recipe_id, strength, verdict.
+    """
+    key = ["source_sha", "recipe_id", "strength"]
+
+    def rounded(df: DataFrame) -> DataFrame:
+        return df.withColumn("strength", F.round(F.col("strength").cast("double"), 6))
+
+    no = rounded(ledger.filter("verdict = 'rejected'")).select(*key, F.lit(True).alias("rejected")).distinct()
+    rows = rounded(options).join(no, key, "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
+    again = Window.partitionBy("source_sha").orderBy("rejected", "place", "recipe_id")
+    return rows.withColumn("new_place", F.row_number().over(again))
+
+
+def needs_intent(saturation: Column, tag: Column) -> Column:
+    """Looks too strong to be proposed unasked: hardly any colour, by number or by tag."""
+    return (F.coalesce(saturation, F.lit(1.0)) <= 0.05) | F.coalesce(tag == "monochrome", F.lit(False))
+
+
+def nearest_rank(values: Column, p: float, how: str = "trunc") -> Column:
+    """Aggregate: the value at place int(n * p), or with `round` at round((n - 1) * p), of the sorted values.
+
+    Of a bounded group, as a frame's or a chart's: its values are gathered in one list.
+    """
+    ordered = F.array_sort(F.collect_list(values))
+    n = F.size(ordered)
+    at = F.floor(n * F.lit(p)) if how == "trunc" else F.bround((n - 1) * F.lit(p), 0)
+    return F.get(ordered, F.least(n - 1, at.cast("int")))
+
+
+def adjusted_curve(points: Column, shadow: Column, highlight: Column) -> Column:
+    """Points [x, y] of a curve with shadows and highlights moved; black stays where it is."""
+
+    def move(p: Column) -> Column:
+        x = p[0]
+        dark = F.greatest(F.lit(0.0), F.lit(1.0) - x / 0.5) * F.least(F.lit(1.0), x / 0.12)
+        y = p[1] + shadow * dark + highlight * F.greatest(F.lit(0.0), (x - 0.5) / 0.5)
+        return F.array(x, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), y)), 6))
+
+    return F.transform(points, move)
+
+
+def merged_bands(*tables: DataFrame) -> DataFrame:
+    """recipe_id, band, hue, saturation, intensity: shifts of one band added up; a band missing on one side is zero there."""
+    rows = reduce(DataFrame.unionByName, tables)
+    return rows.groupBy("recipe_id", "band").agg(*[F.round(F.sum(F.coalesce(k, F.lit(0.0))), 6).alias(k) for k in ("hue", "saturation", "intensity")])
+
+
 def diverse_first(ranked: DataFrame, group: str, tags: list[str], count: int) -> DataFrame:
     """The best `count` rows of a group, those with a tag not seen before first. ranked: has `score`, `recipe_id`.
 

@@ -24,6 +24,21 @@ def avoid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("recipe_id", "reasons", (F.col("reasons") != "").alias("avoided"), F.lit(",".join(UNKNOWN)).alias("unknown"))
 
 
+TERMS = "暖调, 鲜艳，褪色,偏蓝,暖调,noisy"
+_TAG = "['warm amber', 'Cool', 'neutral', 'gold', 'monochrome', 'cyan', NULL][recipe_id % 7 + 1]"
+_TAGGED = """array_to_string(list_filter([CASE WHEN temperature > 3e-2 OR coalesce(regexp_matches(lower(tag), 'warm|amber|gold|orange|red'), FALSE) THEN '暖调' END, CASE WHEN saturation > 1.12e0 THEN '鲜艳' END,
+  CASE WHEN saturation < 9e-1 THEN '褪色' END, CASE WHEN temperature < -3e-2 OR coalesce(regexp_matches(lower(tag), 'cool|blue|cyan'), FALSE) THEN '偏蓝' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query(f"{RECIPES}, t AS (SELECT *, {_TAG} AS tag FROM recipes) SELECT recipe_id, {_TAGGED} AS reasons, 'noisy' AS unknown, saturation <= 5e-2 OR coalesce(tag = 'monochrome', FALSE) AS needs_intent FROM t")
+def avoid_terms_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed terms, by a recipe's numbers and its colour tag; and looks that must be asked for."""
+    known, unknown = records.avoid_terms(TERMS)
+    tags = F.array(*[F.lit(v).cast("string") for v in ("warm amber", "Cool", "neutral", "gold", "monochrome", "cyan", None)])
+    rows = fixtures.recipes(spark, sf_dir).withColumn("tag", F.get(tags, (F.col("recipe_id") % 7).cast("int")))
+    return rows.select("recipe_id", records.avoided_for(known).alias("reasons"), F.lit(",".join(unknown)).alias("unknown"), records.needs_intent(F.col("saturation"), F.col("tag")).alias("needs_intent"))
+
+
 LEDGER_SQL = "ledger AS (SELECT sha256(CAST(doc_id % 50 AS VARCHAR)) AS source_sha, doc_id % 11 AS recipe_id, CASE doc_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 55 ELSE 80 END AS strength, doc_id AS recorded, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS verdict FROM labels)"
 
 
@@ -49,6 +64,52 @@ def feedback_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.remembered(options, ledger(spark, sf_dir).filter("verdict = 'rejected'"))
 
 
+@query(f"""WITH {LEDGER_SQL}, op AS (SELECT DISTINCT source_sha, recipe_id, 55 AS strength, recipe_id * 5 % 11 AS place FROM ledger), no AS (SELECT DISTINCT source_sha, recipe_id, strength FROM ledger WHERE verdict = 'rejected'),
+m AS (SELECT op.*, no.recipe_id IS NOT NULL AS rejected FROM op LEFT JOIN no USING (source_sha, recipe_id, strength))
+SELECT source_sha, recipe_id, rejected, row_number() OVER (PARTITION BY source_sha ORDER BY rejected, place, recipe_id) AS new_place FROM m""")
+def feedback_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options rejected for the same source at the same strength go behind the others."""
+    book = ledger(spark, sf_dir)
+    options = book.select("source_sha", "recipe_id").distinct().withColumns({"strength": F.lit(55), "place": F.col("recipe_id") * 5 % 11})
+    return rounded(records.demoted(options, book).select("source_sha", "recipe_id", "rejected", "new_place"))
+
+
+_POINTS = (0.0, 0.06, 0.25, 0.5, 0.75, 1.0)
+_MOVED = ", ".join(f"round(greatest(0e0, least(1e0, {x!r} + midpoint_ev * {max(0.0, 1 - x / 0.5) * min(1.0, x / 0.12)!r} / 4 + temperature * {max(0.0, (x - 0.5) / 0.5)!r})), 6) + 0e0 AS y{k}" for k, x in enumerate(_POINTS))
+
+
+@query(f"{RECIPES} SELECT recipe_id, {_MOVED} FROM recipes")
+def adjusted_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve whose shadows and highlights a user moved."""
+    points = F.array(*[F.array(F.lit(x), F.lit(x)) for x in _POINTS])
+    rows = fixtures.recipes(spark, sf_dir).withColumn("curve", records.adjusted_curve(points, F.col("midpoint_ev") / 4, F.col("temperature")))
+    return rounded(rows.select("recipe_id", *[F.col("curve")[k][1].alias(f"y{k}") for k in range(len(_POINTS))]))
+
+
+_BANDS = "['r', 'y', 'g', 'c', 'b', 'm']"
+
+
+@query(f"""{RECIPES}, own AS (SELECT recipe_id, {_BANDS}[recipe_id % 6 + 1] AS band, midpoint_ev AS h, temperature AS s, 1e-2 AS i FROM recipes), mine AS (SELECT recipe_id, {_BANDS}[recipe_id % 4 + 1] AS band, temperature AS h, 2e-2 AS s, midpoint_ev AS i FROM recipes)
+SELECT recipe_id, band, {s6(hue='coalesce(a.h, 0) + coalesce(b.h, 0)', saturation='coalesce(a.s, 0) + coalesce(b.s, 0)', intensity='coalesce(a.i, 0) + coalesce(b.i, 0)')} FROM own a FULL JOIN mine b USING (recipe_id, band)""")
+def merged_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe's shifts of hue bands and a user's, band by band."""
+    bands = F.array(*map(F.lit, "rygcbm"))
+    rows = fixtures.recipes(spark, sf_dir)
+    own = rows.select("recipe_id", F.get(bands, (F.col("recipe_id") % 6).cast("int")).alias("band"), F.col("midpoint_ev").alias("hue"), F.col("temperature").alias("saturation"), F.lit(0.01).alias("intensity"))
+    mine = rows.select("recipe_id", F.get(bands, (F.col("recipe_id") % 4).cast("int")).alias("band"), F.col("temperature").alias("hue"), F.lit(0.02).alias("saturation"), F.col("midpoint_ev").alias("intensity"))
+    return rounded(records.merged_bands(own, mine))
+
+
+_ORDERED = f"WITH {fixtures.PIXELS_SQL}, o AS (SELECT frame_id, list_sort(list(g)) AS v FROM px GROUP BY frame_id)"
+
+
+@query(f"{_ORDERED} SELECT frame_id, {', '.join(f'CAST(v[least(len(v) - 1, CAST(floor(len(v) * {p}) AS BIGINT)) + 1] AS BIGINT) AS trunc_{n}, CAST(v[CAST(round_even((len(v) - 1) * {p}, 0) AS BIGINT) + 1] AS BIGINT) AS round_{n}' for n, p in (('05', 0.05), ('50', 0.5), ('95', 0.95)))} FROM o")
+def nearest_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: percentiles that are values of the frame, by both ways to find their place."""
+    picks = [records.nearest_rank(F.col("g"), p, how).alias(f"{how}_{n}") for n, p in (("05", 0.05), ("50", 0.5), ("95", 0.95)) for how in ("trunc", "round")]
+    return rounded(fixtures.pixels(spark, sf_dir).groupBy("frame_id").agg(*picks))
+
+
 SCORED = f"{RECIPES}, sc AS (SELECT media, recipe_id, tone_tag, color_tag, round(100 - abs(midpoint_ev) * 30 - abs(saturation - 1) * 20, 6) AS score FROM recipes)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tintmill.functions import colour
 from tintmill.operators import grade, regions
+from tintmill.operators.records import nearest_rank
 from tintmill.plans import sql
 from tintmill.plans.frames import r6, rounded, s6
 from tintmill.plans.registry import query
@@ -110,7 +111,7 @@ _L1, _L2 = sql.luma(), sql.luma("out_r", "out_g", "out_b")
 
 
 @query(f"""{GRADED}, lu AS (SELECT *, {_L1} AS l1, {_L2} AS l2, sqrt(pow((x - 16) / 16e0, 2) + pow((y - h / 2e0) / (h / 2e0), 2)) AS rad FROM graded),
-s AS (SELECT frame_id, avg(l1) AS m1, avg(l2) AS m2, quantile_cont(l2, 0.05) - quantile_cont(l1, 0.05) AS lift, quantile_cont(l2, 0.01) AS black,
+s AS (SELECT frame_id, avg(l1) AS m1, avg(l2) AS m2, list_sort(list(l2))[CAST(floor(count(*) * 0.05) AS BIGINT) + 1] - list_sort(list(l1))[CAST(floor(count(*) * 0.05) AS BIGINT) + 1] AS lift, list_sort(list(l2))[CAST(floor(count(*) * 0.01) AS BIGINT) + 1] AS black,
   avg(CASE WHEN greatest(out_r, out_g, out_b) >= 253 AND least(out_r, out_g, out_b) < 200 THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN greatest(r, g, b) >= 253 AND least(r, g, b) < 200 THEN 1e0 ELSE 0e0 END) AS clip,
   avg(CASE WHEN greatest(out_r, out_g, out_b) < 2 THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN greatest(r, g, b) < 2 THEN 1e0 ELSE 0e0 END) AS near_black,
   avg(CASE WHEN l2 >= 9.9e-1 THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN l1 >= 9.9e-1 THEN 1e0 ELSE 0e0 END) AS near_clip,
@@ -125,7 +126,7 @@ def failure_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda *c: (F.greatest(*c) >= 253) & (F.least(*c) < 200)
     moved = F.col("l2") - F.col("l1")
     sums = rows.groupBy("frame_id").agg(
-        (F.percentile("l2", 0.05) - F.percentile("l1", 0.05)).alias("lift"), F.percentile("l2", 0.01).alias("black"), (share(cut(p, q, s)) - share(cut(r, g, b))).alias("clip_gain"),
+        (nearest_rank(F.col("l2"), 0.05) - nearest_rank(F.col("l1"), 0.05)).alias("lift"), nearest_rank(F.col("l2"), 0.01).alias("black"), (share(cut(p, q, s)) - share(cut(r, g, b))).alias("clip_gain"),
         (share(F.greatest(p, q, s) < 2) - share(F.greatest(r, g, b) < 2)).alias("near_black_gain"), (share(F.col("l2") >= 0.99) - share(F.col("l1") >= 0.99)).alias("near_clip_gain"), (F.avg("l2") - F.avg("l1")).alias("mean_shift"),
         F.coalesce(F.avg(F.when(F.col("rad") < 0.4, moved)) - F.avg(F.when(F.col("rad") > 0.85, moved)), F.lit(0.0)).alias("vignette_gap"),
     )
