@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tintmill.operators import coverage, matching
+from tintmill.operators import coverage, matching, records, sequence
 
 
 def test_hits_either_way_and_empty(spark):
@@ -68,3 +68,32 @@ def test_opposite_casts_cancel(spark):
 def test_ties_do_not_rise(spark):
     df = spark.createDataFrame([(1, 30, 1.0), (1, 55, 2.0), (1, 80, 3.0), (2, 30, 1.0), (2, 55, 1.0), (3, 30, None), (3, 55, 1.0)], "id long, level int, v double")
     assert {r.id: r.strictly_rising for r in coverage.rising(df, ["id"], "level", "v").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_overlapping_windows_and_their_flanks(spark):
+    windows = spark.createDataFrame([(1, 10, 4, 0.9), (1, 12, 8, 0.9), (1, 13, 3, 0.7), (1, 14, 3, 0.8), (2, 0, 4, 0.6)], "clip_id long, start long, length long, coherence double")
+    kept = sequence.without_overlaps(windows)
+    assert sorted((r.clip_id, r.start, r.length) for r in kept.collect()) == [(1, 10, 4), (1, 14, 3), (2, 0, 4)]
+
+    level, luma = 0.1, []
+    for k in range(60):  # drifts over frames 20 to 32, nearly still elsewhere
+        luma.append(level)
+        level += 0.05 if 20 <= k < 32 else 0.001
+    frames = spark.createDataFrame([(1, k, v) for k, v in enumerate(luma)], "clip_id long, frame_no long, luma double")
+    found = spark.createDataFrame([(1, 20, 11, 1.0)], "clip_id long, start long, length long, coherence double")
+    row = sequence.expanded(found, frames).first()
+    assert (row.found_start, row.found_end, row.start, row.end) == (20, 31, 20, 32)
+
+
+def test_rejected_options_go_last(spark):
+    options = spark.createDataFrame([("s", k, 55, k) for k in range(4)] + [("t", 1, 55, 0)], "source_sha string, recipe_id long, strength int, place long")
+    book = spark.createDataFrame([("s", 0, 55, "rejected"), ("s", 1, 80, "rejected"), ("u", 1, 55, "rejected"), ("s", 2, 55, "accepted"), ("s", 0, 55, "rejected")], "source_sha string, recipe_id long, strength int, verdict string")
+    got = {(r.source_sha, r.recipe_id): (r.new_place, r.rejected) for r in records.demoted(options, book).collect()}
+    assert got == {("s", 0): (4, True), ("s", 1): (1, False), ("s", 2): (2, False), ("s", 3): (3, False), ("t", 1): (1, False)}
+
+
+def test_nearest_ranks_are_values(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in range(10)] + [(2, 7.0)], "id long, v double")
+    for p in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = {r.id: (r.t, r.r) for r in df.groupBy("id").agg(records.nearest_rank(F.col("v"), p).alias("t"), records.nearest_rank(F.col("v"), p, "round").alias("r")).collect()}
+        assert got == {1: (float(min(9, int(10 * p))), float(round(9 * p))), 2: (7.0, 7.0)}

@@ -56,6 +56,49 @@ def gradual_windows(frames: DataFrame, fps: float) -> DataFrame:
     return seen.withColumns({"coherence": straight, "accepted": (straight >= LEAST_COHERENCE) & (F.col("peak") < F.col("direct") * PEAK_SHARE) & faster})
 
 
+def without_overlaps(windows: DataFrame) -> DataFrame:
+    """Of windows of a clip that overlap, the straightest stay, then the shortest, then the earliest.
+
+    A clip has some dozens of accepted windows, so its list is small; it is folded without Python.
+    """
+    key = F.struct((-F.col("coherence")).alias("bent"), "length", "start")
+    lists = windows.groupBy("clip_id").agg(F.array_sort(F.collect_list(key)).alias("found"))
+
+    def take(kept: Column, w: Column) -> Column:
+        meets = F.exists(kept, lambda k: (w["start"] < k["start"] + k["length"]) & (k["start"] < w["start"] + w["length"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(w)))
+
+    kept = F.aggregate("found", F.slice("found", 1, 0), take)
+    rows = lists.select("clip_id", F.explode(kept).alias("w"))
+    return rows.select("clip_id", "w.start", "w.length", (-F.col("w.bent")).alias("coherence"))
+
+
+def expanded(windows: DataFrame, frames: DataFrame) -> DataFrame:
+    """Windows widened on either side while steps stay above twice that side's median, by two lengths at most.
+
+    Each window meets its own few neighbouring steps by an equi-join; a side without steps is not widened.
+    """
+    steps = with_step(frames).filter(F.col("step").isNotNull()).select("clip_id", F.col("frame_no").alias("k"), "step")
+    counts = steps.groupBy("clip_id").agg(F.count(F.lit(1)).alias("steps"))
+    rows = windows.join(counts, "clip_id").withColumn("end", F.col("start") + F.col("length"))
+    rows = rows.withColumns({"low": F.greatest(F.lit(0), F.col("start") - 2 * F.col("length")), "high": F.least("steps", F.col("end") + 2 * F.col("length"))})
+    near = rows.withColumn("k", F.explode(F.sequence("low", "high"))).join(steps, ["clip_id", "k"], "left")
+    k, d, w = F.col("k"), F.col("step"), F.col("length")
+    own = ["clip_id", "start", "length", "end", "low", "high", "coherence"]
+    left = F.when((k >= F.col("start") - w) & (k < F.col("start")), d)
+    right = F.when((k >= F.col("end")) & (k < F.col("end") + w), d)
+    step = F.struct(k.alias("k"), d.alias("d"))
+    sums = near.groupBy(*own).agg(
+        (F.percentile(left, 0.5) * 2).alias("left_floor"), (F.percentile(right, 0.5) * 2).alias("right_floor"),
+        F.collect_list(F.when(k < F.col("start"), step)).alias("before"), F.collect_list(F.when((k >= F.col("end")) & (k < F.col("high")), step)).alias("after"),
+    )
+    calm_before = F.array_max(F.transform(F.filter("before", lambda s: s["d"] <= F.col("left_floor")), lambda s: s["k"] + 1))
+    calm_after = F.array_min(F.transform(F.filter("after", lambda s: s["d"] <= F.col("right_floor")), lambda s: s["k"]))
+    start = F.when(F.col("left_floor").isNull(), F.col("start")).otherwise(F.coalesce(calm_before, "low"))
+    end = F.when(F.col("right_floor").isNull(), F.col("end")).otherwise(F.coalesce(calm_after, "high"))
+    return sums.select("clip_id", F.col("start").alias("found_start"), F.col("end").alias("found_end"), start.alias("start"), end.alias("end"), "coherence")
+
+
 def _middle(values: Column) -> Column:
     """Median of a sorted array without nulls."""
     n = F.size(values)

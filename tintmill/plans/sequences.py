@@ -46,6 +46,22 @@ def shot_gradual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("clip_id", "start", "length", "direct", "travelled", "peak", "coherence", "accepted"))
 
 
+@query(f"""{CLIP}, win AS ({' UNION ALL '.join(map(_scale, seq.window_lengths(FPS)))}),
+ok AS (SELECT clip_id, start, length, direct / travelled AS coherence FROM win WHERE direct >= 8e-2 AND travelled > 0 AND base IS NOT NULL AND direct / travelled >= 5e-1 AND peak < direct * 5e-1 AND (base <= 0 OR inside >= base * 2.5e0)),
+ls AS (SELECT clip_id, list({{'c': -coherence, 'l': length, 's': start}} ORDER BY -coherence, length, start) AS ws FROM ok GROUP BY clip_id),
+fd AS (SELECT clip_id, ws, ws[1:0] AS kept, 1 AS k FROM ls UNION ALL SELECT clip_id, ws, CASE WHEN len(list_filter(kept, lambda t: ws[k].s < t.s + t.l AND t.s < ws[k].s + ws[k].l)) > 0 THEN kept ELSE list_append(kept, ws[k]) END, k + 1 FROM fd WHERE k <= len(ws)),
+un AS (SELECT clip_id, unnest(kept) AS w FROM fd WHERE k > len(ws)), kp AS (SELECT clip_id, w.s AS s, w.l AS l, w.s + w.l AS e, -w.c AS coherence FROM un),
+d AS (SELECT clip_id, frame_no AS k, step, n - 1 AS steps FROM st WHERE step IS NOT NULL),
+fl AS (SELECT kp.clip_id, s, l, e, any_value(steps) AS steps, any_value(coherence) AS coherence, quantile_cont(step, 0.5) FILTER (WHERE k >= s - l AND k < s) * 2 AS lf, quantile_cont(step, 0.5) FILTER (WHERE k >= e AND k < e + l) * 2 AS rf FROM kp JOIN d USING (clip_id) GROUP BY kp.clip_id, s, l, e)
+SELECT fl.clip_id, s AS found_start, e AS found_end, CASE WHEN any_value(lf) IS NULL THEN s ELSE coalesce(max(k + 1) FILTER (WHERE k < s AND k >= greatest(0, s - 2 * l) AND step <= lf), greatest(0, s - 2 * l)) END AS start,
+  CASE WHEN any_value(rf) IS NULL THEN e ELSE coalesce(min(k) FILTER (WHERE k >= e AND k < least(fl.steps, e + 2 * l) AND step <= rf), least(any_value(fl.steps), e + 2 * l)) END AS "end", {s6(coherence='any_value(coherence)')} FROM fl JOIN d USING (clip_id) GROUP BY fl.clip_id, s, l, e""")
+def shot_dissolves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions without overlaps, widened to where the picture is calm."""
+    frames = fixtures.steps(spark, sf_dir)
+    kept = seq.without_overlaps(seq.gradual_windows(frames, FPS).filter("accepted"))
+    return rounded(seq.expanded(kept, frames))
+
+
 _NEAR = ", ".join(f"{f}(step, {k}) OVER o" for f in ("lag", "lead") for k in range(1, seq.AROUND + 1))
 _AT = ", ".join(f"{'lag' if k < 0 else 'lead'}(luma, {abs(k)}) OVER o AS l{'m' if k < 0 else 'p'}{abs(k)}" for k in range(-4, 5) if k)
 CUTS = f"""nb AS (SELECT *, list_filter([{_NEAR}], lambda x: x IS NOT NULL) AS near, {_AT},
