@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tintmill.operators import coverage, matching, records, sequence
+from tintmill.operators import coverage, fields, matching, records, sequence
 
 
 def test_hits_either_way_and_empty(spark):
@@ -97,3 +97,22 @@ def test_nearest_ranks_are_values(spark):
     for p in (0.0, 0.05, 0.5, 0.95, 1.0):
         got = {r.id: (r.t, r.r) for r in df.groupBy("id").agg(records.nearest_rank(F.col("v"), p).alias("t"), records.nearest_rank(F.col("v"), p, "round").alias("r")).collect()}
         assert got == {1: (float(min(9, int(10 * p))), float(round(9 * p))), 2: (7.0, 7.0)}
+
+
+def test_overrides_never_multiply(spark):
+    recipes = spark.createDataFrame([(1, 1.0, 0.0), (2, 1.0, 0.0)], "recipe_id long, saturation double, temperature double")
+    over = spark.createDataFrame([(1, "video", 0.5, None), (1, "video", 0.7, None), (1, "photo", 0.1, 0.1), (3, "video", 0.2, None)], "recipe_id long, media string, saturation double, temperature double")
+    got = records.overridden(recipes, over, "video", ["saturation", "temperature"])
+    assert sorted(map(tuple, got.select("recipe_id", "saturation", "temperature").collect())) == [(1, 0.7, 0.0), (2, 1.0, 0.0)]
+
+
+def test_zip_names_incomplete_groups(spark):
+    a = spark.createDataFrame([(g, k) for g in (1, 2) for k in range(3)], "g long, k long")
+    got = records.zipped(a, a.filter("not (g = 2 and k = 1)"), a, ["g", "k"])
+    assert sorted(map(tuple, got.collect())) == [(1, 3, True), (2, 2, False)]
+
+
+def test_a_light_is_found_and_a_plain_frame_has_none(spark):
+    rows = [(1, 0.9 if (x, y) in ((2, 3), (3, 3)) else 0.2, x / 10, y / 10) for x in range(10) for y in range(10)] + [(2, 0.5, x / 10, 0.0) for x in range(10)]
+    got = {r.frame_id: r for r in fields.light_source(spark.createDataFrame(rows, "frame_id long, luma double, u double, v double")).collect()}
+    assert got[1].found and abs(got[1].cx - 0.25) < 1e-9 and abs(got[1].radius - 0.05) < 1e-9 and not got[2].found

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintmill.functions import colour
+from tintmill.operators.records import nearest_rank
 
 # Bounds of the checks.
 CORE_SHARE, LEAST_AREA, MOST_AREA, LEAST_CONTRAST = 0.92, 0.0008, 0.35, 1.6
@@ -49,6 +50,25 @@ def light_core(rows: DataFrame) -> DataFrame:
     return out.withColumn("found", F.col("area").between(LEAST_AREA, MOST_AREA) & (F.col("contrast") >= LEAST_CONTRAST))
 
 
+def light_source(rows: DataFrame) -> DataFrame:
+    """A frame's light in encoded luma: bright against the middle value of the frame, small, and not a mere speck.
+
+    rows: frame_id, luma (0 to 1), u, v. The radius is the distance at place int(n * 0.9) in the core, 0.02 at least.
+    A frame is bounded, so its values may be listed.
+    """
+    frame = rows.groupBy("frame_id").agg(F.max("luma").alias("peak"), nearest_rank(F.col("luma"), 0.5).alias("middle"), F.count(F.lit(1)).alias("n"))
+    core = rows.join(frame, "frame_id").filter(F.col("luma") >= F.col("peak") * CORE_SHARE)
+    weight, total = F.col("luma"), F.sum("luma")
+    centre = core.groupBy("frame_id", "peak", "middle", "n").agg(
+        F.count(F.lit(1)).alias("inside"), F.avg("luma").alias("mean"), F.try_divide(F.sum(F.col("u") * weight), total).alias("cx"), F.try_divide(F.sum(F.col("v") * weight), total).alias("cy"),
+        F.collect_list(F.struct("u", "v")).alias("places"),
+    )
+    away = F.array_sort(F.transform("places", lambda p: F.hypot(p["u"] - F.col("cx"), p["v"] - F.col("cy"))))
+    radius = F.greatest(F.get(away, F.floor(F.size("places") * 0.9).cast("int")), F.lit(0.02))
+    out = centre.select("frame_id", (F.col("inside") / F.col("n")).alias("area"), (F.col("mean") / F.greatest(F.lit(1e-6), "middle")).alias("contrast"), "peak", "cx", "cy", radius.alias("radius"))
+    return out.withColumn("found", F.col("area").between(LEAST_AREA, MOST_AREA) & (F.col("contrast") >= LEAST_CONTRAST))
+
+
 def warm_falloff(rows: DataFrame) -> DataFrame:
     """Warmth added near the centre less that added far off. rows: warmer, away. Null where too few pixels say anything."""
     near, far = F.col("away") < NEAR, F.col("away") > FAR

@@ -99,6 +99,47 @@ def adjusted_curve(points: Column, shadow: Column, highlight: Column) -> Column:
     return F.transform(points, move)
 
 
+def overridden(recipes: DataFrame, overrides: DataFrame, media: str, fields: list[str]) -> DataFrame:
+    """Recipes as one medium runs them: fields that its override names replace the recipe's own, others stay.
+
+    overrides: recipe_id, media and the fields, null where an override is silent; of several for one recipe
+    and medium each field takes its largest value, so that rows never multiply.
+    """
+    own = overrides.filter(F.col("media") == media).groupBy("recipe_id").agg(*[F.max(f).alias("__" + f) for f in fields])
+    rows = recipes.join(own, "recipe_id", "left")
+    return rows.withColumns({f: F.coalesce("__" + f, f) for f in fields}).drop(*["__" + f for f in fields])
+
+
+def zipped(first: DataFrame, second: DataFrame, third: DataFrame, keys: list[str]) -> DataFrame:
+    """group key, pixels, complete: how many places all three have, and whether none has a place that another lacks.
+
+    Each input is one row a place; the rest of keys after the first tells places of a group apart.
+    """
+    marked = [df.select(*keys, F.lit(k).alias("part")) for k, df in enumerate((first, second, third))]
+    places = reduce(DataFrame.unionByName, marked).groupBy(*keys).agg(F.count_distinct("part").alias("parts"))
+    return places.groupBy(keys[0]).agg(F.count_if(F.col("parts") == 3).alias("pixels"), F.every(F.col("parts") == 3).alias("complete"))
+
+
+# Profiles that are meant for a screen, those that say nothing, and curves of logarithmic recordings.
+DISPLAY_PROFILES = ("srgb", "display-p3", "rec709-sdr", "rec709-sdr-inferred")
+UNTAGGED_PROFILES = ("untagged", "untagged-video")
+LOG_TRANSFERS = ("log100", "log316")
+
+
+def input_truth(profile: Column, transfer: Column, hdr: Column, assume_sdr: bool = False) -> tuple[Column, Column]:
+    """state and confidence of what an input is, by its tags alone; how it looks is never asked."""
+    steps = (
+        (hdr, "hdr", "metadata"),
+        (transfer.isin(*LOG_TRANSFERS), "log/raw", "metadata"),
+        (profile.isin(*DISPLAY_PROFILES), "display-referred", "metadata"),
+        (profile.isin(*UNTAGGED_PROFILES) & F.lit(assume_sdr), "display-referred", "user-confirmed-assumption"),
+    )
+    state, confidence = F.lit("unknown"), F.lit("insufficient-metadata")
+    for holds, s, c in reversed(steps):
+        state, confidence = F.when(holds, s).otherwise(state), F.when(holds, c).otherwise(confidence)
+    return state, confidence
+
+
 def merged_bands(*tables: DataFrame) -> DataFrame:
     """recipe_id, band, hue, saturation, intensity: shifts of one band added up; a band missing on one side is zero there."""
     rows = reduce(DataFrame.unionByName, tables)

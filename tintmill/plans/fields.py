@@ -46,6 +46,17 @@ def light_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fields.light_core(rows))
 
 
+@query(f"""WITH {fixtures.SCENES_SQL}, p AS (SELECT frame_id, {sql.luma()} AS luma, x / 32e0 AS u, y / CAST(h AS DOUBLE) AS v FROM px), f AS (SELECT frame_id, max(luma) AS peak, list_sort(list(luma))[count(*) // 2 + 1] AS middle, count(*) AS n FROM p GROUP BY frame_id),
+c AS (SELECT p.*, peak, middle, n FROM p JOIN f USING (frame_id) WHERE luma >= peak * 9.2e-1), z AS (SELECT frame_id, sum(u * luma) / sum(luma) AS cx, sum(v * luma) / sum(luma) AS cy FROM c GROUP BY frame_id),
+s AS (SELECT frame_id, count(*) / CAST(any_value(n) AS DOUBLE) AS area, avg(luma) / greatest(1e-6, any_value(middle)) AS contrast, any_value(peak) AS peak, any_value(cx) AS cx, any_value(cy) AS cy,
+  greatest(list_sort(list(sqrt(pow(u - cx, 2) + pow(v - cy, 2))))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1], 2e-2) AS radius FROM c JOIN z USING (frame_id) GROUP BY frame_id)
+SELECT frame_id, {s6(area='area', contrast='contrast', peak='peak', cx='cx', cy='cy', radius='radius')}, area BETWEEN 8e-4 AND 3.5e-1 AND contrast >= 1.6e0 AS found FROM s""")
+def light_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light of a frame in encoded luma, against the frame's middle value."""
+    rows = fixtures.scenes(spark, sf_dir)
+    return rounded(fields.light_source(rows.select("frame_id", colour.luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"), (F.col("x") / 32.0).alias("u"), (F.col("y") / F.col("h")).alias("v"))))
+
+
 _BOTH = f"""{GRADED}, sr AS (SELECT frame_id, idx, x, y, h, r, g, b FROM graded), re AS (SELECT frame_id, idx, out_r AS r, out_g AS g, out_b AS b FROM graded)"""
 
 

@@ -100,6 +100,46 @@ def merged_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(records.merged_bands(own, mine))
 
 
+@query(f"""{RECIPES}, o AS (SELECT p_partkey AS recipe_id, CASE WHEN p_size > 20 THEN 'video' ELSE 'photo' END AS media, CASE WHEN p_size % 2 = 0 THEN p_size / 50e0 END AS saturation, CASE WHEN p_size % 3 = 0 THEN -1e-1 END AS temperature FROM part)
+SELECT r.recipe_id, {s6(saturation='coalesce(o.saturation, r.saturation)', temperature='coalesce(o.temperature, r.temperature)', midpoint_ev='midpoint_ev')} FROM recipes r LEFT JOIN o ON o.recipe_id = r.recipe_id AND o.media = 'video'""")
+def media_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes as video runs them."""
+    size = F.col("p_size")
+    overrides = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("recipe_id"), F.when(size > 20, "video").otherwise("photo").alias("media"), F.when(size % 2 == 0, size / 50.0).alias("saturation"), F.when(size % 3 == 0, -0.1).alias("temperature")
+    )
+    rows = fixtures.recipes(spark, sf_dir).select("recipe_id", "saturation", "temperature", "midpoint_ev")
+    return rounded(records.overridden(rows, overrides, "video", ["saturation", "temperature"]))
+
+
+@query(f"""WITH {fixtures.PIXELS_SQL}, a AS (SELECT frame_id, idx FROM px), m AS (SELECT frame_id, idx FROM px WHERE NOT (frame_id % 10 = 3 AND y = 1)), c AS (SELECT frame_id, idx FROM px WHERE NOT (frame_id % 10 = 4 AND x = 0)),
+u AS (SELECT frame_id, idx, count(*) AS parts FROM (SELECT * FROM a UNION ALL SELECT * FROM m UNION ALL SELECT * FROM c) GROUP BY ALL) SELECT frame_id, count(*) FILTER (WHERE parts = 3) AS pixels, bool_and(parts = 3) AS complete FROM u GROUP BY frame_id""")
+def zip_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source, mask and result place by place; frames where one of them lacks some."""
+    rows = fixtures.pixels(spark, sf_dir)
+    mask, result = rows.filter("not (frame_id % 10 = 3 and y = 1)"), rows.filter("not (frame_id % 10 = 4 and x = 0)")
+    return records.zipped(rows, mask, result, ["frame_id", "idx"])
+
+
+_TAGS = ("srgb", "untagged", "display-p3", "rec2020", "untagged-video", "rec709-sdr", None)
+_CURVES = ("bt709", "log100", None)
+
+
+def _list(values: tuple) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS source_id, {_list(_TAGS)}[p_partkey % 7 + 1] AS profile, {_list(_CURVES)}[p_partkey % 3 + 1] AS transfer, p_size > 45 AS hdr FROM part)
+SELECT source_id, CASE WHEN hdr THEN 'hdr' WHEN transfer IN ('log100', 'log316') THEN 'log/raw' WHEN profile IN ('srgb', 'display-p3', 'rec709-sdr', 'rec709-sdr-inferred', 'untagged', 'untagged-video') THEN 'display-referred' ELSE 'unknown' END AS state,
+  CASE WHEN hdr OR transfer IN ('log100', 'log316') OR profile IN ('srgb', 'display-p3', 'rec709-sdr', 'rec709-sdr-inferred') THEN 'metadata' WHEN profile LIKE 'untagged%' THEN 'user-confirmed-assumption' ELSE 'insufficient-metadata' END AS confidence FROM t""")
+def input_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what inputs are by their tags, untagged ones being assumed ordinary on request."""
+    key = F.col("p_partkey")
+    profile, transfer = (F.get(F.array(*[F.lit(v).cast("string") for v in values]), (key % len(values)).cast("int")) for values in (_TAGS, _CURVES))
+    state, confidence = records.input_truth(profile, transfer, F.col("p_size") > 45, assume_sdr=True)
+    return table(spark, sf_dir, "part").select(key.alias("source_id"), state.alias("state"), confidence.alias("confidence"))
+
+
 _ORDERED = f"WITH {fixtures.PIXELS_SQL}, o AS (SELECT frame_id, list_sort(list(g)) AS v FROM px GROUP BY frame_id)"
 
 
