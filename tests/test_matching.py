@@ -116,3 +116,11 @@ def test_a_light_is_found_and_a_plain_frame_has_none(spark):
     rows = [(1, 0.9 if (x, y) in ((2, 3), (3, 3)) else 0.2, x / 10, y / 10) for x in range(10) for y in range(10)] + [(2, 0.5, x / 10, 0.0) for x in range(10)]
     got = {r.frame_id: r for r in fields.light_source(spark.createDataFrame(rows, "frame_id long, luma double, u double, v double")).collect()}
     assert got[1].found and abs(got[1].cx - 0.25) < 1e-9 and abs(got[1].radius - 0.05) < 1e-9 and not got[2].found
+
+
+def test_detail_that_sinks_only_at_the_cut(spark):
+    frames = spark.createDataFrame([(c, k, d) for c, low in ((1, 0.01), (2, 0.04)) for k in range(20) for d in [low if 8 <= k <= 12 else 0.05]] + [(3, k, 0.001) for k in range(20)], "clip_id long, frame_no long, detail double")
+    cuts = spark.createDataFrame([(c, 11, "hard_cut") for c in (1, 2, 3)] + [(1, 4, "flash")], "clip_id long, frame_no long, kind string")
+    got = {r.clip_id: r for r in sequence.whip_pans(cuts, frames, 9).collect()}
+    assert {c: r.suspected for c, r in got.items()} == {1: True, 2: False, 3: False}
+    assert abs(got[1].depth - 0.8) < 1e-9 and got[1].frame_no == 11

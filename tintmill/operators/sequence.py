@@ -15,6 +15,7 @@ SCALES_S = (0.4, 0.8, 1.4, 2.2)
 LEAST_DIRECT, LEAST_COHERENCE, PEAK_SHARE, LEAST_RATIO = 0.08, 0.5, 0.5, 2.5
 SCENE_STEP, FLASH_RETURN, REVIEW_BELOW, LEAST_SHOT_S = 0.10, 0.35, 0.60, 0.6
 STEP_DELTA, FEWEST_STEPS, MOST_STEPS = 0.04, 6, 48
+WHIP_DEPTH, WHIP_SHOULDER, FEWEST_NEAR = 0.45, 0.010, 8
 
 #: Steps on either side that a cut is compared with.
 AROUND = 5
@@ -132,7 +133,7 @@ def boundaries(frames: DataFrame) -> DataFrame:
 
 
 def _keep_surer(gap: int):
-    def fold(_, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame_no", "confidence", "kind"], kind="stable")
         kept: list[int] = []
         at, sure = rows["frame_no"].tolist(), rows["confidence"].tolist()
@@ -147,6 +148,33 @@ def _keep_surer(gap: int):
     return fold
 
 
+def whip_pans(cuts: DataFrame, frames: DataFrame, around: int) -> DataFrame:
+    """Hard cuts with shoulder, trough and depth of the detail about them; suspected: detail sinks at the cut alone.
+
+    frames: clip_id, frame_no, detail. Each cut meets the `around` frames on either side by an equi-join.
+    """
+    hard = cuts.filter("kind = 'hard_cut'").select("clip_id", (F.col("frame_no") - 1).alias("peak"))
+    near = hard.withColumn("frame_no", F.explode(F.sequence(F.col("peak") - around, F.col("peak") + around)))
+    near = near.join(frames.select("clip_id", "frame_no", "detail"), ["clip_id", "frame_no"])
+    off, detail = F.col("frame_no") - F.col("peak"), F.col("detail")
+    sides = near.groupBy("clip_id", "peak").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(off < -1, detail)), F.lit(0.0)).alias("left"), F.coalesce(F.max(F.when(off >= 2, detail)), F.lit(0.0)).alias("right"),
+        F.min(F.when(off.between(-2, 3), detail)).alias("trough"),
+    )
+    shoulder = F.least("left", "right")
+    depth = F.when(shoulder > 0, 1 - F.col("trough") / shoulder).otherwise(0.0)
+    rows = sides.select("clip_id", (F.col("peak") + 1).alias("frame_no"), "n", shoulder.alias("shoulder"), "trough", depth.alias("depth"))
+    return rows.withColumn("suspected", (F.col("n") >= FEWEST_NEAR) & (F.col("depth") >= WHIP_DEPTH) & (F.col("shoulder") >= WHIP_SHOULDER))
+
+
+def over_time(frames: DataFrame, measures: list[str]) -> DataFrame:
+    """A clip's mean and spread of each measure, and its largest change from one frame to the next."""
+    order = clip_order()
+    rows = frames.withColumns({"jump_" + m: F.abs(F.col(m) - F.lag(m).over(order)) for m in measures})
+    kinds = [(F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"std_{m}"), F.coalesce(F.max(f"jump_{m}"), F.lit(0.0)).alias(f"jump_{m}")) for m in measures]
+    return rows.groupBy("clip_id").agg(F.count(F.lit(1)).alias("frames"), *[c for k in kinds for c in k])
+
+
 def deduplicated(found: DataFrame, fps: float) -> DataFrame:
     """Boundaries closer than the shortest shot: the surer one stays; each is held against the last kept."""
     return found.groupBy("clip_id").applyInPandas(_keep_surer(round(LEAST_SHOT_S * fps)), found.schema)

@@ -73,6 +73,27 @@ cuts AS (SELECT clip_id, CAST(CASE WHEN rises OR falls IS NULL THEN frame_no ELS
   round(least(step / (step + coalesce(list_aggregate(near, 'median'), 0e0) * 3), 9.9e-1), 6) AS confidence FROM pk)"""
 
 
+_DETAIL = "((user_id * 37 + frame_no * 11) % 100) / 2000e0"
+
+
+@query(f"""{CLIP}, {CUTS}, h AS (SELECT clip_id, frame_no - 1 AS peak FROM cuts WHERE kind = 'hard_cut'), ne AS (SELECT h.clip_id, peak, frame_no - peak AS off, {_DETAIL} AS detail FROM h JOIN steps ON steps.clip_id = h.clip_id AND frame_no BETWEEN peak - 9 AND peak + 9),
+sd AS (SELECT clip_id, peak, count(*) AS n, least(coalesce(max(detail) FILTER (WHERE off < -1), 0e0), coalesce(max(detail) FILTER (WHERE off >= 2), 0e0)) AS shoulder, min(detail) FILTER (WHERE off BETWEEN -2 AND 3) AS trough FROM ne GROUP BY clip_id, peak),
+dp AS (SELECT *, CASE WHEN shoulder > 0 THEN 1 - trough / shoulder ELSE 0e0 END AS depth FROM sd)
+SELECT clip_id, peak + 1 AS frame_no, n, {s6(shoulder='shoulder', trough='trough', depth='depth')}, n >= 8 AND depth >= 4.5e-1 AND shoulder >= 1e-2 AS suspected FROM dp""")
+def whip_pans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard cuts about which detail sinks on both sides."""
+    frames = fixtures.steps(spark, sf_dir)
+    detail = ((F.col("user_id") * 37 + F.col("frame_no") * 11) % 100) / 2000.0
+    return rounded(seq.whip_pans(seq.boundaries(frames), frames.withColumn("detail", detail), 9))
+
+
+@query(f"""WITH {fixtures.STEPS_SQL}, j AS (SELECT *, abs(luma - lag(luma) OVER (PARTITION BY clip_id ORDER BY frame_no)) AS jump FROM steps)
+SELECT clip_id, count(*) AS frames, {s6(mean_luma='avg(luma)', std_luma='stddev_pop(luma)', jump_luma='coalesce(max(jump), 0e0)')} FROM j GROUP BY clip_id""")
+def clip_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A measure's mean and spread over a clip, and its largest jump."""
+    return rounded(seq.over_time(fixtures.steps(spark, sf_dir), ["luma"]))
+
+
 @query(f"{CLIP}, {CUTS} SELECT clip_id, frame_no, kind, {s6(confidence='confidence')}, confidence < 6e-1 AND kind <> 'flash' AS review FROM cuts")
 def shot_flash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts with their confidence, and flashes by either edge."""
