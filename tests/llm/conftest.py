@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -23,8 +25,26 @@ ROWS = [
 ] + [(20 + k, "copies copies copies of one text", "en", "hot") for k in range(30)]
 
 
+def vectors(rows):
+    """rows (vec_id, vector, label) as embeddings with extra columns of clashing names."""
+    ids, values, labels = zip(*rows) if rows else ((), (), ())
+    own = {"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(values, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())}
+    return pa.table(own | {c: pa.array(["x"] * len(ids), pa.string()) for c in ("list", "block", "v", "w", "own", "rank", "cluster", "score", "far", "kind")})
+
+
+def odd_vectors(n=320):
+    """Vectors with ties and equal rows; some are null, or have a component that is null or not finite."""
+    draw = random.Random(12)
+    rows = [(k, [draw.choice((-0.5, -0.25, 0.0, 0.1, 0.25, 0.5)) if d < 6 else 0.0 for d in range(64)], draw.randrange(4)) for k in range(n)]
+    rows += [(n + k, rows[5][1], k % 4) for k in range(30)]  # copies, a hot label among them
+    rows[7], rows[14], rows[21] = (7, None, 1), (14, [None, *rows[14][1][1:]], 1), (21, [float("nan"), *rows[21][1][1:]], 1)
+    rows[28], rows[100], rows[35] = (28, [float("inf"), *rows[28][1][1:]], 1), (100, rows[100][1], None), (35, [0.0] * 64, 2)
+    return rows
+
+
 def put(folder, rows):
     pq.write_table(table(rows), folder / "documents.parquet")
+    pq.write_table(vectors(odd_vectors() if rows else []), folder / "embeddings.parquet")
     return str(folder)
 
 

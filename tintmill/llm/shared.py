@@ -38,12 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def shared_place(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, which clear_settled deletes like a settled table."""
+    path = f"{shared_dir(spark)}/settled/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor
     costs no more than the stage that reads the table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = shared_place(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
