@@ -11,7 +11,7 @@ files, so a lost executor leaves nothing half done. Places are URIs that pyarrow
 
 Defined cases: null or empty text is the end id alone; rows without a doc_id come first; rows that share
 a doc_id are ordered by a hash of their text, repeated rows stand side by side, and each counts; a third of all rows
-may share doc_id and text, since row numbers part them; a very long text is encoded word by word and
+may share doc_id and text, since row numbers part them; a very long text is encoded piece by piece and
 its ids fill as many blocks of its file as they need; other columns are not read; no rows, no files.
 """
 
@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ from tintmill.llm.shared import documents, settle, shared_place, slices, slots,
 VOCABULARY, END = "word_bpe_49k", 2
 #: Ids after which a file is closed at the next end of a document; bytes of text dealt to a task.
 FILE, TASK = 4 * range_coder.BLOCK, 128 << 20
-#: Words that a task remembers, none of more than WORD bytes.
-REMEMBERED, WORD = 1 << 18, 64
+#: Pieces of text in a generation of those that a task remembers, none of more than WORD bytes.
+REMEMBERED, WORD = 1 << 19, 64
 RUN = 1 << 10
 #: Before each block: magic, packed bytes, documents that end in the section, crc32 of the packed list.
 SECTION = struct.Struct("<4sIII")
@@ -44,9 +45,16 @@ MAGIC = b"DOCS"
 _coders: dict = {}
 
 
+#: Bytes that are ASCII letters: 1; marks and digits that end a run of them: 2. White space, the apostrophe (it
+#: begins contractions) and all that is beyond ASCII: 0.
+_KIND = np.array([0 if c >= 128 or c == 39 or chr(c).isspace() else 1 if chr(c).isalpha() else 2 for c in range(256)], np.uint8)
+
+
 class Words:
-    """Ids of texts by the tokenizers library. This tokenizer drops white space and joins nothing across
-    it, so a text's ids are those of its words in order; frequent words are looked up."""
+    """Ids of texts by the tokenizers library. This tokenizer lower-cases, drops white space and joins
+    neither across it nor from an ASCII letter to an ASCII mark or digit, so a text's ids are those of its
+    pieces between these places, in order. Pieces that come often are looked up; those remembered are in two
+    generations, of which the older one is let go. A text that spells a special token is encoded whole."""
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,17 +63,39 @@ class Words:
 
         self.coder = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         self.size = self.coder.get_vocab_size()
+        self.special = [t.content.encode() for t in self.coder.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def pieces(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if any(x in raw for x in self.special):
+            return [raw]
+        raw = raw.lower()  # of bytes: A to Z only
+        kind = _KIND[np.frombuffer(raw, np.uint8)]
+        cuts = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1
+        return np.insert(np.frombuffer(raw, np.uint8), cuts, 32).tobytes().split()  # at space and 09..0D only
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.encode().split() for x in texts]  # of bytes: at space and 09..0D only
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        long, new = {}, list(set().union(*split).difference(self.known))
-        for word, found in zip(new, self.coder.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            (self.known if len(word) <= WORD else long)[word] = np.array(found.ids, "<u2").tobytes()
-        get = self.known.__getitem__ if not long else lambda x: self.known[x] if x in self.known else long[x]
-        return [np.frombuffer(b"".join(map(get, words)), "<u2") for words in split]
+            self.known, self.older = {}, self.known
+        split = [self.pieces(x) for x in texts]
+        found = [list(map(self.known.get, own)) for own in split]
+        new = {w for own, ids in zip(split, found) if None in ids for w, x in zip(own, ids) if x is None}
+        long: dict[bytes, bytes] = {}
+        for word in [w for w in new if w in self.older]:
+            self.known[word] = self.older[word]
+            new.discard(word)
+        new = list(new)
+        for word, own in zip(new, self.coder.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
+            (self.known if len(word) <= WORD else long)[word] = array("H", own.ids).tobytes()
+        get = lambda w: self.known[w] if w in self.known else long[w]
+        out = []
+        for own, ids in zip(split, found):
+            if None in ids:
+                ids = [get(w) if x is None else x for w, x in zip(own, ids)]
+            out.append(np.frombuffer(b"".join(ids), np.uint16))
+        return out
 
 
 def words_of(name: str = VOCABULARY) -> Words:
