@@ -18,6 +18,7 @@ its ids fill as many blocks of its file as they need; other columns are not read
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +36,7 @@ from tintmill.llm.shared import documents, settle, shared_place, slices, slots,
 
 VOCABULARY, END = "word_bpe_49k", 2
 #: Ids after which a file is closed at the next end of a document; bytes of text dealt to a task.
-FILE, TASK = 4 * range_coder.BLOCK, 128 << 20
+FILE, TASK = 2 * range_coder.BLOCK, 128 << 20
 #: Pieces of text in a generation of those that a task remembers, none of more than WORD bytes.
 REMEMBERED, WORD = 1 << 19, 64
 RUN = 1 << 10
@@ -50,23 +51,43 @@ _coders: dict = {}
 _KIND = np.array([0 if c >= 128 or c == 39 or chr(c).isspace() else 1 if chr(c).isalpha() else 2 for c in range(256)], np.uint8)
 
 
-class Words:
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
+class Words(dict):
     """Ids of texts by the tokenizers library. This tokenizer lower-cases, drops white space and joins
     neither across it nor from an ASCII letter to an ASCII mark or digit, so a text's ids are those of its
-    pieces between these places, in order. Pieces that come often are looked up; those remembered are in two
-    generations, of which the older one is let go. A text that spells a special token is encoded whole."""
+    pieces between these places, in order. Pieces that come often are looked up here; those remembered are in
+    two generations, of which the older one is let go. Lower-case letters of Latin-1 alone are one pre-token
+    that no normaliser changes, so they go straight to the library's model; all other pieces go through the
+    tokenizer, and a text that spells a special token is encoded whole."""
 
     def __init__(self, name: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        super().__init__()
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.coder = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         self.size = self.coder.get_vocab_size()
         self.special = [t.content.encode() for t in self.coder.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.coder.model
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.older: dict[bytes, bytes] = {}
 
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            text = piece.decode()
+            if _PLAIN(text):
+                own = [t.id for t in self.model.tokenize(text if text.isascii() else self.bytes(text)[0][0])]
+            else:
+                own = self.coder.encode(text, add_special_tokens=False).ids
+            ids = array("H", own).tobytes()
+        if len(piece) <= WORD:
+            self[piece] = ids
+        return ids
+
     def pieces(self, text: str) -> list[bytes]:
         raw = text.encode()
         if any(x in raw for x in self.special):
@@ -76,26 +97,11 @@ class Words:
         cuts = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1
         return np.insert(np.frombuffer(raw, np.uint8), cuts, 32).tobytes().split()  # at space and 09..0D only
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        split = [self.pieces(x) for x in texts]
-        found = [list(map(self.known.get, own)) for own in split]
-        new = {w for own, ids in zip(split, found) if None in ids for w, x in zip(own, ids) if x is None}
-        long: dict[bytes, bytes] = {}
-        for word in [w for w in new if w in self.older]:
-            self.known[word] = self.older[word]
-            new.discard(word)
-        new = list(new)
-        for word, own in zip(new, self.coder.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            (self.known if len(word) <= WORD else long)[word] = array("H", own.ids).tobytes()
-        get = lambda w: self.known[w] if w in self.known else long[w]
-        out = []
-        for own, ids in zip(split, found):
-            if None in ids:
-                ids = [get(w) if x is None else x for w, x in zip(own, ids)]
-            out.append(np.frombuffer(b"".join(ids), np.uint16))
-        return out
+    def ids(self, text: str) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), np.uint16)
 
 
 def words_of(name: str = VOCABULARY) -> Words:
@@ -182,9 +188,9 @@ def _written(batches, folder: str, vocabulary: str, end: int) -> Iterator[pa.Rec
     words, part, number, file = words_of(vocabulary), TaskContext.get().partitionId(), 0, None
     for batch in batches:
         for own in slices([batch]):
-            for doc_id, ids in zip(own.column(0).to_pylist(), words.ids(texts_of(own))):
+            for doc_id, text in zip(own.column(0).to_pylist(), texts_of(own)):
                 file = file or _Writer(folder, part, number, words.size)
-                file.add(np.append(ids, np.uint16(end)), doc_id)
+                file.add(np.append(words.ids(text), np.uint16(end)), doc_id)
                 if file.total >= FILE:
                     yield file.close()
                     file, number = None, number + 1
