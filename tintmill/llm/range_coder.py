@@ -27,8 +27,8 @@ BLOCK = LANES * STEPS
 HEAD = struct.Struct("<4sIIIII")
 MAGIC = b"CMR1"
 #: An interval is a part of 2^SCALE, of which order 0 keeps a sixteenth at least; its shares are parts
-#: of 2^WHOLE. It is brought up to date each step at first, then every REFRESH steps.
-SCALE, WHOLE, REFRESH = 24, 20, 8
+#: of 2^WHOLE. It is brought up to date after each of the first steps, then every REFRESH steps.
+SCALE, WHOLE, REFRESH = 24, 20, 16
 HASH, SURE_BITS, TRIALS = 20, 3, 1 << 14
 MOST_SURE = (1 << SURE_BITS) - 1
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -73,28 +73,33 @@ class _Model:
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the interval of each lane's id."""
-        second, first = ids == self.said[1], ids == self.said[0]
-        self.right = [first, second]
-        self.order = np.where(second, 2, first)
-        start, size = np.where(second, 0, self.two), np.where(second, self.two, self.known - self.two)
+        self.right = [ids == self.said[0], ids == self.said[1]]
+        self.order = np.where(self.right[1], 2, self.right[0])
         new = np.flatnonzero(self.order == 0)
-        own, known = ids[new], self.known[new]
+        return self._bounds(new, ids[new], self.known[new])
+
+    def _bounds(self, new: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of all lanes; `new` are those that neither order 2 nor order 1 named."""
+        second = self.right[1]
+        start, size = np.where(second, 0, self.two), np.where(second, self.two, self.known - self.two)
         rest = (1 << SCALE) - known
-        low = self.before[own] * rest >> WHOLE
+        low = self.before[ids] * rest >> WHOLE
         start[new] = known + low
-        size[new] = (self.before[own + 1] * rest >> WHOLE) - low
+        size[new] = (self.before[ids + 1] * rest >> WHOLE) - low
         return start, size
 
-    def ids(self, place: np.ndarray) -> np.ndarray:
-        """The id of each lane in whose interval the place lies."""
+    def found(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id of each lane in whose interval the place lies, and start and size of that interval."""
         if self.owner is None:
             self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.int32), np.diff(self.before))
-        out = np.where(place < self.two, self.said[1], self.said[0])
-        new = np.flatnonzero(place >= self.known)
-        beyond = place[new] - self.known[new]
-        rest = (1 << SCALE) - self.known[new]
-        out[new] = self.owner[((beyond + 1 << WHOLE) - 1) // rest]
-        return out.astype(np.int64)
+        second, named = place < self.two, place < self.known
+        self.right = [named & ~second | second & (self.said[0] == self.said[1]), second]
+        self.order = np.where(second, 2, named)
+        ids = np.where(second, self.said[1], self.said[0]).astype(np.int64)
+        new = np.flatnonzero(~named)
+        known = self.known[new]
+        ids[new] = own = self.owner[((place[new] - known + 1 << WHOLE) - 1) // ((1 << SCALE) - known)]
+        return ids, *self._bounds(new, own, known)
 
     def learn(self, ids: np.ndarray) -> None:
         self.outcomes += np.bincount(self.state * 3 + self.order, minlength=self.outcomes.size).reshape(-1, 3)
@@ -108,7 +113,7 @@ class _Model:
             self.told[k][self.at[k]] = np.where(self.right[k], right, wrong)
         self.late.append(ids)
         self.step += 1
-        if self.step < REFRESH or self.step % REFRESH == 0:
+        if self.step < 8 or self.step % REFRESH == 0:
             self.refresh()
 
 
@@ -204,8 +209,7 @@ def decode(read) -> np.ndarray | None:
         model.look(last[:have], prior[:have])
         unit = span[:have] >> np.uint64(SCALE)
         place = np.minimum((code[:have] - low[:have]) // unit, np.uint64((1 << SCALE) - 1)).astype(np.int64)
-        own = model.ids(place)
-        start, size = model.interval(own)
+        own, start, size = model.found(place)
         low[:have] += unit * start.astype(np.uint64)
         span[:have] = unit * size.astype(np.uint64)
         while len(due := _due(low[:have], span[:have])):

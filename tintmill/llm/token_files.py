@@ -48,9 +48,12 @@ _coders: dict = {}
 
 #: Bytes that are ASCII letters: 1; marks and digits that end a run of them: 2. White space, the apostrophe (it
 #: begins contractions) and all that is beyond ASCII: 0.
-_KIND = np.array([0 if c >= 128 or c == 39 or chr(c).isspace() else 1 if chr(c).isalpha() else 2 for c in range(256)], np.uint8)
+_KIND = bytes(0 if c >= 128 or c == 39 or chr(c).isspace() else 1 if chr(c).isalpha() else 2 for c in range(256))
 
 
+#: How byte-level vocabularies spell bytes: printing ones of Latin-1 as they are, all others in order from U+0100.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = dict(zip((b for b in range(256) if b not in _PRINTS), range(256, 512)))
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
 
@@ -66,13 +69,11 @@ class Words(dict):
         super().__init__()
         import public_tokenizers
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.coder = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         self.size = self.coder.get_vocab_size()
         self.special = [t.content.encode() for t in self.coder.get_added_tokens_decoder().values()]
         self.model = self.coder.model
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -80,7 +81,7 @@ class Words(dict):
         if ids is None:
             text = piece.decode()
             if _PLAIN(text):
-                own = [t.id for t in self.model.tokenize(text if text.isascii() else self.bytes(text)[0][0])]
+                own = [t.id for t in self.model.tokenize(text if text.isascii() else piece.decode("latin-1").translate(_LETTERS))]
             else:
                 own = self.coder.encode(text, add_special_tokens=False).ids
             ids = array("H", own).tobytes()
@@ -93,9 +94,12 @@ class Words(dict):
         if any(x in raw for x in self.special):
             return [raw]
         raw = raw.lower()  # of bytes: A to Z only
-        kind = _KIND[np.frombuffer(raw, np.uint8)]
-        cuts = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1
-        return np.insert(np.frombuffer(raw, np.uint8), cuts, 32).tobytes().split()  # at space and 09..0D only
+        kind = raw.translate(_KIND)
+        if 2 in kind:
+            kind = np.frombuffer(kind, np.uint8)
+            ends = [0, *(np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1).tolist(), len(raw)]
+            raw = b" ".join([raw[a:b] for a, b in zip(ends, ends[1:])])
+        return raw.split()  # at space and 09..0D only
 
     def ids(self, text: str) -> np.ndarray:
         if len(self) > REMEMBERED:
