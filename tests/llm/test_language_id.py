@@ -98,3 +98,25 @@ def test_a_rare_language_has_limits_too(spark):
     rows += [(1000 + k, f"der schnelle braune fuchs {'klmnop'[k % 6] * (k % 5 + 1)} springt", "de") for k in range(9)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["de", "en"] and sorted(model.limits) == [0, 1]
+
+
+def test_equal_rows_do_not_crowd_out_a_language(spark):
+    """Rows without doc_id share a draw; a language of one repeated text is learned beside varied rows, either way round."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    varied = [(k, " ".join(words[(k * j) % 12] for j in range(1, 9)) + f" {words[k % 12]}{words[k % 7]}", "en") for k in range(2000)]
+    equal = [(None, "ein und derselbe kleine Satz über schöne Häuser", "de")] * 20_000
+    docs = spark.createDataFrame(varied + equal, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.langs == ["de", "en"]
+    assert model.decide(["schöne kleine haus", "seven eleven twelve"])["lang_pred"].tolist() == ["de", "en"]
+
+
+def test_the_sample_is_bounded_by_texts_and_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 40)
+    seen = []
+    settle = language_id.settle
+    monkeypatch.setattr(language_id, "settle", lambda df, tag: seen.append(settle(df, tag)) or seen[-1])
+    docs = spark.createDataFrame([(k, f"text number {k % 500} " * 8, "en") for k in range(4000)], "doc_id long, text string, lang string")
+    language_id.fit(docs, sample=100)
+    rows = seen[0].collect()
+    assert 50 < len(rows) < 200 and max(len(r.text) for r in rows) <= 40

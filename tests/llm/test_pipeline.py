@@ -53,3 +53,26 @@ def test_odd_rows(spark, odd):
     counts = [t.count() for t in tables[:4]]
     assert counts[0] <= len(ROWS) and counts == sorted(counts, reverse=True)
     assert len({plain(r.text) for r in tables[1].collect()}) == counts[1]
+
+
+def test_columns_of_any_name_and_kind_pass_through(spark, odd):
+    from pyspark.sql import functions as F
+
+    clash = ["meta.url", "__id", "__key", "__language", "__languageid", "___id", "a`b"]
+    docs = documents(spark, odd).select("*", *[F.lit(c).alias(c) for c in clash], F.create_map(F.lit("k"), F.col("source")).alias("labels"), F.parse_json(F.lit('{"a": 1}')).alias("more"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = settle(stage(spark, docs, odd), f"clash-{name}")
+        assert docs.columns == names
+        rows = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(clash)]).distinct().collect()
+        assert [list(r) for r in rows] == [clash]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, odd).count() > 0
+
+
+def test_rows_that_differ_in_a_map_are_not_equal(spark):
+    from tintmill.llm import exact_dedup
+
+    one = "map('a', 1, 'b', 2)"
+    docs = spark.sql(f"SELECT 1L AS doc_id, 'x' AS text, {one} AS m UNION ALL SELECT 1L, 'x', map('b', 2, 'a', 1) UNION ALL SELECT 1L, 'x', map('a', 1) UNION ALL SELECT 1L, 'x', null")
+    keys = [r.k for r in docs.select(exact_dedup.row_key(docs).alias("k")).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 3

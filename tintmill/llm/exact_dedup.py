@@ -8,7 +8,8 @@ from there on only recipes move, about a hundredth of the text. Equal recipes ar
 
 Defined cases: null text counts as empty, and all empty texts are one group; of repeated rows
 (same doc_id, same text) one row stays; a null doc_id stays only if no other row of its group has
-one; an empty table gives no rows; other columns are not read.
+one; a very long text is cut whole, in one piece of memory of some ten times its bytes, and moves on as its recipe;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tintmill.llm.shared import documents, settle, slices, texts_of
+from tintmill.llm.shared import documents, quoted, settle, slices, texts_of, unused
 
 #: A byte's share in a cut hash: fixed by this seed.
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
@@ -103,8 +104,16 @@ def recipes(docs: DataFrame, digests: tuple[int, ...] = DIGESTS) -> DataFrame:
 
 
 def row_key(docs: DataFrame):
-    """Rows that share doc_id and this key are equal, so either may stand for the other."""
-    return F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    """Rows that share doc_id and this key are equal, so either may stand for the other. What Spark does not
+    hash (maps, variants, and what holds them) is hashed as JSON, maps with their entries in order."""
+
+    def hashable(name: str, kind: str):
+        own = F.col(quoted(name))
+        if kind.startswith("map<") and "variant" not in kind and "map<" not in kind[4:]:
+            return F.to_json(F.array_sort(F.map_entries(own)))
+        return F.to_json(F.struct(own.alias("c"))) if "map<" in kind or "variant" in kind else own
+
+    return F.xxhash64(*[hashable(c, kind) for c, kind in docs.dtypes])
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: tuple[int, ...] = DIGESTS) -> DataFrame:
@@ -121,23 +130,25 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
 
 def kept_rows(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that decisions (doc_id, row_key, kept) keep, with all their columns."""
-    stay = decisions.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__of")).agg(F.count_if("kept").alias("__stay"), F.count(F.lit(1)).alias("__rows")).filter("__stay > 0")
-    names = docs.columns
-    keyed = docs.withColumn("__key", row_key(docs))
-    same = keyed[doc_id].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
-    out = keyed.join(stay.filter("__rows = __stay"), same, "left_semi").select(*names)
-    part = stay.filter("__rows > __stay")
+    start = unused(docs)
+    id_, of, stays, all_, key, piece, n, size, before = (start + x for x in ("id", "of", "stay", "rows", "key", "piece", "n", "size", "before"))
+    stay = decisions.groupBy(F.col("doc_id").alias(id_), F.col("row_key").alias(of)).agg(F.count_if("kept").alias(stays), F.count(F.lit(1)).alias(all_)).filter(f"{stays} > 0")
+    names = [F.col(quoted(c)) for c in docs.columns]
+    keyed = docs.withColumn(key, row_key(docs))
+    same = F.col(quoted(doc_id)).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of))
+    out = keyed.join(stay.filter(f"{stays} = {all_}"), same, "left_semi").select(*names)
+    part = stay.filter(f"{all_} > {stays}")
     if part.isEmpty():
         return out
     # Equal rows, of which some stay: a number beside each, in pieces so that no task gets them all.
-    some = keyed.join(part, same).withColumn("__piece", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    in_piece = F.row_number().over(Window.partitionBy("__id", "__of", "__piece").orderBy("__stay"))
-    some = settle(some.withColumn("__n", in_piece), "equal-rows")
-    sizes = some.groupBy("__id", "__of", "__piece").agg(F.count(F.lit(1)).alias("__size"))
-    before = F.sum("__size").over(Window.partitionBy("__id", "__of").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).select(F.col("__id").alias("__i"), F.col("__of").alias("__o"), F.col("__piece").alias("__p"), "__before")
-    both = some.join(sizes, some["__id"].eqNullSafe(F.col("__i")) & (F.col("__of") == F.col("__o")) & (F.col("__piece") == F.col("__p")))
-    return out.unionByName(both.filter("__before + __n <= __stay").select(*names))
+    some = keyed.join(part, same).withColumn(piece, F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    in_piece = F.row_number().over(Window.partitionBy(id_, of, piece).orderBy(stays))
+    some = settle(some.withColumn(n, in_piece), "equal-rows")
+    sizes = some.groupBy(id_, of, piece).agg(F.count(F.lit(1)).alias(size))
+    ahead = F.sum(size).over(Window.partitionBy(id_, of).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn(before, F.coalesce(ahead, F.lit(0))).select(F.col(id_).alias(id_ + "2"), F.col(of).alias(of + "2"), F.col(piece).alias(piece + "2"), before)
+    both = some.join(sizes, F.col(id_).eqNullSafe(F.col(id_ + "2")) & (F.col(of) == F.col(of + "2")) & (F.col(piece) == F.col(piece + "2")))
+    return out.unionByName(both.filter(f"{before} + {n} <= {stays}").select(*names))
 
 
 def op2_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

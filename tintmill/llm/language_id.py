@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One order-5 model per language, learned from a bounded sample of labelled rows with a letter (about
-SAMPLE rows a language, all rows if there are fewer; chosen by a 63-bit hash of doc_id and text, so
-that the size of the sample does not depend on the size of the corpus). Counts of 5-grams are summed by Spark; continuation counts,
+SAMPLE different texts a language, all if there are fewer, of PIECE characters at most; chosen by a 63-bit
+hash of the text, so that the sample's size depends neither on the corpus nor on its repeats). Counts of 5-grams are summed by Spark; continuation counts,
 discounts and interpolation follow from them. Grams of all languages share sorted hash arrays: a
 key's place in the array is its row of log-probabilities, one for each language. A text gets the
 language with the lowest length-normalised cross-entropy. A part of the sample that is not learned
@@ -14,7 +14,7 @@ Defined cases: null text, or text without a letter (combining marks are none), i
 rejected; empty tables give no rows; without any labelled row with a letter every text is `und`; if
 no row is left to calibrate with, nothing with a letter is rejected; equal cross-entropies go to the
 first language in alphabetical order; repeated rows get equal results; a very long text is scored
-whole, in one piece of some 60 bytes of memory a character; other columns pass through or are not read.
+whole, in one piece of some 60 bytes of memory a character and 4 more for each language; other columns pass through or are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BITS = 12
 MASK = (1 << BITS) - 1
 #: Labelled rows of a language that are learned from, at most about; and one in CALIBRATE of them calibrates.
 SAMPLE, CALIBRATE = 600, 5
+#: Characters of a text that are learned from at once; a longer text counts as several.
+PIECE = 1 << 16
 REJECT, FEW = 8.0, 8
 PAD = "\x01" * (ORDER - 1)
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -198,18 +200,24 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """The model of the labelled rows of docs that are not held out. The sample's size is bounded by
-    `sample` rows a language; what reaches the driver is its distinct 5-grams."""
+    """The model of the labelled rows of docs that are not held out. The sample's size is bounded by about
+    `sample` different texts a language, of PIECE characters at most; what reaches the driver is its distinct 5-grams."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(doc_id, 4))
-    drawn = lambda name: F.shiftrightunsigned(F.xxhash64(F.lit(name), doc_id, text), 1)
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), drawn("sample").alias("draw"), (drawn("aside") % CALIBRATE == 0).alias("aside"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.md5(F.col(text)).alias("key"))
+    # Equal texts of a language are one, and a long text is as many as it has pieces: repeats neither
+    # crowd out other texts nor come in beside each other, and no text is more than PIECE characters.
+    pieces = rows.withColumn("piece", F.explode(F.expr(f"sequence(0L, (length(text) - 1) div {PIECE})")))
+    drawn = lambda name: F.shiftrightunsigned(F.xxhash64(F.lit(name), "key", "piece"), 1)
+    pieces = pieces.withColumns({"draw": drawn("sample"), "aside": drawn("aside") % CALIBRATE == 0})
+    sizes = {r["lang"]: r["n"] for r in pieces.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
     if not sizes:
         return Model({})
     chosen = F.lit(False)
     for x, n in sizes.items():
         chosen = chosen | ((F.col("lang") == x) & (F.col("draw") <= bound(sample, n)))
-    rows = settle(rows.filter(chosen).select(letters(F.col("text")).alias("text"), "lang", "aside"), "language-sample")
+    cut = F.substring(F.col("text"), (F.col("piece") * PIECE + 1).cast("int"), F.lit(PIECE))
+    own = pieces.filter(chosen).select("lang", "key", "piece", "aside", cut.alias("text")).dropDuplicates(["lang", "key", "piece"])
+    rows = settle(own.select(letters(F.col("text")).alias("text"), "lang", "aside").filter("text != ''"), "language-sample")
     learned = rows.filter("not aside").select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long")
     table = learned.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "gram"])
     model = Model({x: (own["gram"].to_numpy(), own["n"].to_numpy()) for x, own in table.groupby("lang")})

@@ -4,7 +4,8 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers. Their fi
 induces lexical patterns: its own shape (digits as 0, letters as a, and whether a card's check digit
 holds), the two words before it, and the word on each side of it. Patterns also fit candidates, things
 that look like identifiers and overlap no base span: one to WINDOW neighbouring words of digits, with
-six digits at least, or a word with @. So a phone number that a rule lost, because digits followed it
+six digits at least and 64 characters at most, or a word with @ of 64 characters at most on each side of
+it (base spans may be of any length; longer candidates are not looked for, they are no identifiers). So a phone number that a rule lost, because digits followed it
 and it looked too long, is found again by its shape. Patterns and instances form a bipartite graph,
 scored in rounds: a pattern's score for a kind is the share of its instances, weighted by their
 scores, that are of that kind (with BELIEF doubtful ones added); a candidate's score is that of its

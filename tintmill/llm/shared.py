@@ -73,6 +73,19 @@ def settle_stage(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -
     return table
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame) -> str:
+    """A beginning that no column of df has, for names of helper columns."""
+    start = "__"
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session: how widely its owner wants data dealt."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
