@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintmill.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
-from tintmill.llm.shared import documents, settle_stage
+from tintmill.llm.shared import documents, quoted, settle_stage, unused
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = language_id.fit(docs)
     if not model.langs and not docs.isEmpty():
         raise ValueError("no labelled row has a letter: there is no language to learn")
-    named = language_id.identify(docs, model, into="__language")
-    return named.filter(~F.col("__language.rejected")).select(*docs.columns)
+    into = unused(docs) + "language"
+    named = language_id.identify(docs, model, into=into)
+    return named.filter(~F.col(f"{into}.rejected")).select(*[quoted(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +35,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_rows(docs, exact_dedup.exact_dedup(docs))
 
 
+def _of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id found has; a null is found like any other."""
+    name = unused(docs) + "id"
+    ids = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+
+
 #: Similarity of the sets of five-word shingles from which two documents are near copies.
 NEAR = 0.8
 
@@ -42,8 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies or linked fingerprints the document that names it stays (the smallest
     doc_id). Rows that share a doc_id, all those without one among them, stay or go together."""
     found = simhash_dedup.near_dedup(docs, similarity=NEAR, words=5)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    return _of(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 #: Thousandths of all tokens that the mix of the pipeline takes; every document once at most.
@@ -53,8 +60,7 @@ MIX_SHARE = 800
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the budget of their leaf; the document at a leaf's cut stays whole. Rows that
     share a doc_id stay if one of them is taken."""
-    taken = mixing.mix(docs, share=MIX_SHARE, epochs=1).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]), "left_semi")
+    return _of(docs, mixing.mix(docs, share=MIX_SHARE, epochs=1))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
