@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a pixel of its supplier's frame; the last row of a frame may be shorter."""
     items = table(spark, sf_dir, "lineitem").select(*ORDER)
     frame = Window.partitionBy("l_suppkey")
     rows = items.withColumns({"idx": F.row_number().over(frame.orderBy(*ORDER)) - 1, "n": F.count(F.lit(1)).over(frame)})
-    rows = rows.filter(F.col("idx") < F.floor(F.col("n") / WIDTH) * WIDTH)
     rows = rows.withColumns({"frame_id": F.col("l_suppkey"), "q": F.col("l_quantity").cast("int"), "x": F.col("idx") % WIDTH, "y": F.expr(f"cast(idx div {WIDTH} as int)")})
-    return rows.withColumn("h", F.floor(F.col("n") / WIDTH).cast("int"))
+    return rows.withColumn("h", F.ceil(F.col("n") / WIDTH).cast("int"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same views as DuckDB SQL, for the oracle.
 _ORDER = ", ".join(ORDER)
-PLACED_SQL = f"""placed AS (SELECT *, l_suppkey AS frame_id, CAST(l_quantity AS INT) AS q, CAST(idx % {WIDTH} AS INT) AS x, CAST(idx // {WIDTH} AS INT) AS y, CAST(n // {WIDTH} AS INT) AS h FROM (
-  SELECT {_ORDER}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) WHERE idx < (n // {WIDTH}) * {WIDTH})"""
+PLACED_SQL = f"""placed AS (SELECT *, l_suppkey AS frame_id, CAST(l_quantity AS INT) AS q, CAST(idx % {WIDTH} AS INT) AS x, CAST(idx // {WIDTH} AS INT) AS y, CAST((n + {WIDTH - 1}) // {WIDTH} AS INT) AS h FROM (
+  SELECT {_ORDER}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem))"""
 PIXELS_SQL = f"{PLACED_SQL}, px AS (SELECT frame_id, idx, x, y, h, CAST((l_partkey * 7 + l_linenumber * 31) % 256 AS INT) AS r, CAST((q * 5 + l_orderkey) % 256 AS INT) AS g, CAST((l_suppkey * 13 + l_partkey) % 256 AS INT) AS b FROM placed)"
 SCENES_SQL = f"{PLACED_SQL}, px AS (SELECT frame_id, idx, x, y, h, CAST((x * 8 + y * 3 + q) % 256 AS INT) AS r, CAST((y * 12 + l_linenumber * 4) % 256 AS INT) AS g, CAST(((255 - x * 6 + l_suppkey * 5) % 256 + 256) % 256 AS INT) AS b FROM placed)"
 STEPS_SQL = "steps AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS clip_id, row_number() OVER (PARTITION BY floor(epoch(ts) / 86400) ORDER BY ts, event_id) - 1 AS frame_no, event_id, user_id, value, value / 490e0 AS luma FROM events)"
