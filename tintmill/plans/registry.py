@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tintmill.plans import coverage, fields, fitting, foundations, frames, matching, palettes, records, regions, sequences, treatments  # noqa: F401
+    from tintmill.plans import calibrations, coverage, fields, fitting, foundations, frames, luts, matching, palettes, records, regions, samplings, sequences, treatments  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
