@@ -92,14 +92,14 @@ def cal_root_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EIGHT = lambda v: f"(least(255e0, greatest(0e0, {_ROUND(v)})) / 255)"
-_TAIL = _DE[_DE.index("f AS (SELECT l1"):]
+_TAIL = _DE[_DE.index("f AS MATERIALIZED (SELECT l1"):]
 HOLDOUT = f"""{MODELS}, co AS (SELECT chart, {', '.join(f'round({m}, 8) AS {c}' for c, m in _C.items())} FROM ge{T}), ev AS (SELECT *, {', '.join(f"{_EIGHT('t' + c)} AS e{c}" for c in 'rgb')} FROM tn WHERE id % 5 = 0),
 pr AS (SELECT ev.*, {', '.join(f"{_HELD(_ROUND(' + '.join(f'c{k}{i} * {t}' for i, t in enumerate(_terms('e')))))} AS p{c}" for k, c in enumerate('rgb'))} FROM ev JOIN co USING (chart)),
 q1 AS (SELECT chart AS frame_id, id AS idx, mr AS r, mg AS g, mb AS b FROM pr), q2 AS (SELECT chart AS frame_id, id AS idx, pr AS r, pg AS g, pb AS b FROM pr), {sql.linear('q1', 'l1')}, {sql.linear('q2', 'l2')}, {_TAIL}"""
 
 
 # The differences of two pictures, as `ciede2000_pairs` has them, with each pixel's number.
-HOLD = HOLDOUT.replace("f AS (SELECT l1.frame_id, l1.idx,", "f AS (SELECT l1.frame_id, l1.idx AS idx,").replace("t AS (SELECT frame_id, ", "t AS (SELECT frame_id, idx, ")
+HOLD = HOLDOUT.replace("(SELECT l1.frame_id, l1.idx, ", "(SELECT l1.frame_id, l1.idx AS idx, ").replace("t AS (SELECT frame_id, ", "t AS (SELECT frame_id, idx, ")
 _GAP = f"abs(({sql.hue('pa', 'pb')}) - ({sql.hue('sa', 'sb')}))"
 _MEASURED = f"""er AS (SELECT d5.frame_id AS chart, d5.idx AS id, de, CASE WHEN sqrt(pa * pa + pb * pb) < 15 OR sqrt(sa * sa + sb * sb) < 15 THEN 0e0 ELSE least({_GAP}, 360 - {_GAP}) END AS hue FROM d5),
 al AS (SELECT pr.*, de, hue, pow((mr + mg + mb - pr.pr - pg - pb) / 3e0 / 255, 2) AS gap FROM pr JOIN er USING (chart, id)),

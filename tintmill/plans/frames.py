@@ -212,7 +212,7 @@ def _named(out: str) -> str:
     return f"116 * {out}_f1 - 16 AS {out}l, 500 * ({out}_f0 - {out}_f1) AS {out}a, 200 * ({out}_f1 - {out}_f2) AS {out}b"
 
 
-_DE = f"""{_both('lab')}, f AS (SELECT l1.frame_id, l1.idx, {sql.cielab('l1.lr', 'l1.lg', 'l1.lb', 'p')}, {sql.cielab('l2.lr', 'l2.lg', 'l2.lb', 's')} FROM l1 JOIN l2 USING (frame_id, idx)),
+_DE = f"""{_both("lab")}, f AS MATERIALIZED (SELECT l1.frame_id, l1.idx, {sql.cielab('l1.lr', 'l1.lg', 'l1.lb', 'p')}, {sql.cielab('l2.lr', 'l2.lg', 'l2.lb', 's')} FROM l1 JOIN l2 USING (frame_id, idx)),
 t AS (SELECT frame_id, {_named('p')}, {_named('s')} FROM f), c0 AS (SELECT *, sqrt(pa * pa + pb * pb) AS k1, sqrt(sa * sa + sb * sb) AS k2 FROM t),
 g0 AS (SELECT *, 1.5e0 - 5e-1 * sqrt(pow((k1 + k2) / 2e0, 7) / (pow((k1 + k2) / 2e0, 7) + pow(25e0, 7))) AS gg FROM c0),
 c1 AS (SELECT *, sqrt(pa * gg * pa * gg + pb * pb) AS w1, sqrt(sa * gg * sa * gg + sb * sb) AS w2, {sql.hue('pa * gg', 'pb')} AS h1, {sql.hue('sa * gg', 'sb')} AS h2 FROM g0),
