@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 
-LANES, STEPS = 8192, 256
+LANES, STEPS = 16384, 128
 #: Ids of a full block.
 BLOCK = LANES * STEPS
 HEAD = struct.Struct("<4sIIIII")

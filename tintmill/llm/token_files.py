@@ -17,6 +17,7 @@ its ids fill as many blocks of its file as they need; other columns are not read
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -38,7 +39,7 @@ VOCABULARY, END = "word_bpe_49k", 2
 #: Ids after which a file is closed at the next end of a document; bytes of text dealt to a task.
 FILE, TASK = 2 * range_coder.BLOCK, 128 << 20
 #: Pieces of text in a generation of those that a task remembers, none of more than WORD bytes.
-REMEMBERED, WORD = 1 << 19, 64
+REMEMBERED, WORD = 1 << 20, 64
 RUN = 1 << 10
 #: Before each block: magic, packed bytes, documents that end in the section, crc32 of the packed list.
 SECTION = struct.Struct("<4sIII")
@@ -189,6 +190,16 @@ class _Writer:
 
 
 def _written(batches, folder: str, vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
+    """Files of the partition's rows. Nothing here makes cycles of objects, so their collector, which would
+    look through all that is remembered again and again, rests meanwhile."""
+    gc.disable()
+    try:
+        yield from _files(batches, folder, vocabulary, end)
+    finally:
+        gc.enable()
+
+
+def _files(batches, folder: str, vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
     words, part, number, file = words_of(vocabulary), TaskContext.get().partitionId(), 0, None
     for batch in batches:
         for own in slices([batch]):
