@@ -118,7 +118,7 @@ def statistics(px: DataFrame, profile: str = "srgb") -> DataFrame:
     return _colour_done(_tone_done(rows.groupBy("frame_id").agg(*_tone_sums(), *_colour_sums(), *_texture_sums())))
 
 
-#: Bounds of a frame whose technique already looks finished.
+# Bounds of a frame whose technique already looks finished.
 POLISHED = {"p01": (None, 0.04), "p50": (0.08, 0.62), "tone_span": (0.35, 0.75), "colorfulness": (0.16, None), "chromatic_pixel_ratio": (0.65, None), "local_contrast_modeling": (0.025, 0.06), "noise_estimate": (None, 0.0045)}
 
 

@@ -39,7 +39,8 @@ def area_scaled(px: DataFrame, width: Column, height: Column, to: tuple[Column,
     rows = rows.withColumns({"__cx": _cells(F.col("x"), F.col("__sw"), F.col("__w")), "__cy": _cells(F.col("y"), F.col("__sh"), F.col("__h"))})
     rows = rows.select("frame_id", "__w", "__h", "__sw", "__sh", "r", "g", "b", "__cy", F.explode("__cx").alias("cx")).withColumn("cy", F.explode("__cy"))
     weight = F.col("cx.share") * F.col("cy.share")
-    mean = lambda c: F.rint(F.sum(F.col(c) * weight) / F.sum(weight)).cast("int").alias(c)
+    # To six decimals first: whether a mean is just a half must not depend on the order of a sum.
+    mean = lambda c: F.rint(F.round(F.sum(F.col(c) * weight) / F.sum(weight), 6)).cast("int").alias(c)
     size = F.first("__sw") * F.first("__sh") / (F.first("__w") * F.first("__h"))
     cells = rows.groupBy("frame_id", F.col("cx.at").alias("x"), F.col("cy.at").alias("y")).agg(F.first("__w").alias("w"), F.first("__h").alias("h"), *[mean(c) for c in "rgb"], (F.sum(weight) * size).alias("area"))
     return cells.select("frame_id", (F.col("y") * F.col("w") + F.col("x")).alias("idx"), "x", "y", "w", "h", "r", "g", "b", "area")

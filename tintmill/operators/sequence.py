@@ -17,6 +17,11 @@ SCENE_STEP, FLASH_RETURN, REVIEW_BELOW, LEAST_SHOT_S = 0.10, 0.35, 0.60, 0.6
 STEP_DELTA, FEWEST_STEPS, MOST_STEPS = 0.04, 6, 48
 WHIP_DEPTH, WHIP_SHOULDER, FEWEST_NEAR = 0.45, 0.010, 8
 
+# Weights of a shot's health, for blown and crushed pixels, tone span up to a most, distance of the median
+# from a middle, black above and white beyond a bound, and seconds up to a most.
+HEALTH_BLOWN, HEALTH_CRUSHED = 260.0, 90.0
+HEALTH_SPAN, HEALTH_MIDDLE, HEALTH_BLACK, HEALTH_WHITE, HEALTH_LENGTH = (26.0, 0.75), (55.0, 0.22), (60.0, 0.05), (120.0, 0.97), (1.0, 8.0)
+
 #: Steps on either side that a cut is compared with.
 AROUND = 5
 
@@ -221,8 +226,10 @@ def off_beat(pts: Column, frame_no: Column, fps: int, timescale: int) -> Column:
 
 def health(span: Column, p01: Column, p50: Column, p99: Column, blown: Column, crushed: Column, seconds: Column) -> Column:
     """Score of a shot as the one that others are matched to."""
-    above = lambda v, limit: F.greatest(v - limit, F.lit(0.0))
-    return F.least(span, F.lit(0.75)) * 26 + F.least(seconds, F.lit(8.0)) - blown * 260 - crushed * 90 - F.abs(p50 - 0.22) * 55 - above(p01, 0.05) * 60 - above(p99, 0.97) * 120
+    beyond = lambda v, limit: F.greatest(F.lit(0.0), v - limit)
+    (per_span, most_span), (per_gap, middle), (per_black, black), (per_white, white), (per_second, most_seconds) = HEALTH_SPAN, HEALTH_MIDDLE, HEALTH_BLACK, HEALTH_WHITE, HEALTH_LENGTH
+    lost = blown * HEALTH_BLOWN + crushed * HEALTH_CRUSHED + F.abs(p50 - middle) * per_gap + beyond(p01, black) * per_black + beyond(p99, white) * per_white
+    return F.least(span, F.lit(most_span)) * per_span + F.least(seconds, F.lit(most_seconds)) * per_second - lost
 
 
 def alike(a: Column, b: Column) -> Column:

@@ -23,7 +23,7 @@ def _grid_sql(columns: str, rows: str) -> str:
     return f"""sized AS (SELECT *, {columns} AS cw, {rows} AS ch FROM px),
 cells AS (SELECT s.*, cx.k AS cx, cy.k AS cy, ({over('x', W, 'cw', 'cx.k')}) * ({over('y', 'h', 'ch', 'cy.k')}) AS wt FROM sized s, range(64) cx(k), range(64) cy(k)
   WHERE cx.k < cw AND cy.k < ch AND {over('x', W, 'cw', 'cx.k')} > 1e-9 AND {over('y', 'h', 'ch', 'cy.k')} > 1e-9),
-cell AS (SELECT frame_id, cx, cy, cw, ch, {', '.join(f'CAST(round_even(sum({c} * wt) / sum(wt), 0) AS BIGINT) AS {c}' for c in 'rgb')}, sum(wt) * {W} * h / (cw * ch) AS area FROM cells GROUP BY frame_id, cx, cy, cw, ch, h)"""
+cell AS (SELECT frame_id, cx, cy, cw, ch, {', '.join(f'CAST(round_even(round(sum({c} * wt) / sum(wt), 6), 0) AS BIGINT) AS {c}' for c in 'rgb')}, sum(wt) * {W} * h / (cw * ch) AS area FROM cells GROUP BY frame_id, cx, cy, cw, ch, h)"""
 
 
 _SIDE = lambda n: f"CAST(greatest({LEAST}, least({n}, round_even({n} * sqrt({PIXELS} / ({W}e0 * h)), 0))) AS INT)"
