@@ -1,5 +1,7 @@
 """Cuts, flashes and shots of small clips that are known beforehand."""
 
+from pyspark.sql import functions as F
+
 from tintmill.operators import records
 from tintmill.operators import sequence as seq
 
@@ -30,6 +32,13 @@ def test_close_boundaries_are_held_against_the_last_kept(spark):
     assert rows_of(seq.deduplicated(found, 10), "clip_id", "frame_no") == [(1, 14), (1, 20), (2, 3)]
 
 
+def test_time_stamps_of_long_clips(spark):
+    """Frame 4,000,000 at 512 ticks: products beyond 32 bits, from columns of 32."""
+    stamps = [(0, 0), (139_811, 139_811 * 512), (4_000_000, 4_000_000 * 512), (4_000_000, 4_000_000 * 512 + 9)]
+    df = spark.createDataFrame(stamps, "frame_no int, pts int")
+    assert [r.off for r in df.select(seq.off_beat(F.col("pts"), F.col("frame_no"), 30, 15360).alias("off")).collect()] == [False, False, False, True]
+
+
 def test_no_frames(spark):
     empty = clip(spark, [0.1]).filter("clip_id < 0")
     assert seq.deduplicated(seq.boundaries(empty), 10).count() == 0

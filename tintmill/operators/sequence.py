@@ -220,7 +220,8 @@ def dissolve_steps(first: list[Column], second: list[Column]) -> Column:
 
 
 def off_beat(pts: Column, frame_no: Column, fps: int, timescale: int) -> Column:
-    """Time stamp over half a tick from where the frame rate puts it, in whole numbers."""
+    """Time stamp over half a tick from where the frame rate puts it, in whole numbers of 64 bits."""
+    pts, frame_no = pts.cast("long"), frame_no.cast("long")
     return F.abs(pts * fps - frame_no * timescale) * 2 > fps
 
 

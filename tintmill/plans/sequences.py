@@ -174,7 +174,7 @@ SELECT clip_id, count(*) FILTER (WHERE abs(pts * {RATE} - frame_no * {TIMESCALE}
 def pts_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time stamps rise and keep to the frame rate, in whole numbers."""
     moved = F.when(F.col("event_id") % 97 == 0, 9).when(F.col("event_id") % 89 == 0, -1024).otherwise(0)
-    rows = fixtures.steps(spark, sf_dir).withColumn("pts", F.col("frame_no") * 512 + moved)
+    rows = fixtures.steps(spark, sf_dir).withColumn("pts", F.col("frame_no").cast("long") * 512 + moved)
     rows = rows.withColumns({"off": seq.off_beat(F.col("pts"), F.col("frame_no"), RATE, TIMESCALE), "still": F.coalesce(F.col("pts") - F.lag("pts").over(seq.clip_order()) <= 0, F.lit(False))})
     return rows.groupBy("clip_id").agg(F.count_if("off").alias("off_beat"), F.count_if("still").alias("not_rising"), (F.count_if(F.col("off") | F.col("still")) == 0).alias("regular"))
 
