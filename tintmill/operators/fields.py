@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintmill.functions import colour
+from tintmill.operators.diagnosis import dealt
 from tintmill.operators.records import nearest_rank
 
 # Bounds of the checks.
@@ -25,16 +26,16 @@ def _down() -> Window:
     return Window.partitionBy("frame_id", "x").orderBy("y")
 
 
-def edge_energy(rows: DataFrame, value: str) -> DataFrame:
+def edge_energy(rows: DataFrame, value: str, parts: int | None = None) -> DataFrame:
     """Mean difference to the left and to the upper neighbour."""
-    rows = rows.repartition("frame_id").withColumns({"h_step": F.abs(F.col(value) - F.lag(value).over(_across())), "v_step": F.abs(F.col(value) - F.lag(value).over(_down()))})
+    rows = dealt(rows, parts).withColumns({"h_step": F.abs(F.col(value) - F.lag(value).over(_across())), "v_step": F.abs(F.col(value) - F.lag(value).over(_down()))})
     return rows.groupBy("frame_id").agg(F.avg("h_step").alias("horizontal"), F.avg("v_step").alias("vertical"))
 
 
-def eroded(rows: DataFrame, mask: str, radius: int) -> DataFrame:
+def eroded(rows: DataFrame, mask: str, radius: int, parts: int | None = None) -> DataFrame:
     """mask (boolean) shrunk: true where it holds within radius, rows first, then columns; the window shrinks at the edges."""
     kept = F.min(mask).over(_across().rowsBetween(-radius, radius))
-    rows = rows.repartition("frame_id").withColumn(mask, kept)
+    rows = dealt(rows, parts).withColumn(mask, kept)
     return rows.withColumn(mask, F.min(mask).over(_down().rowsBetween(-radius, radius)))
 
 

@@ -24,7 +24,7 @@ def lit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT frame_id, {s6(horizontal='avg(hs)', vertical='avg(vs)')} FROM e GROUP BY frame_id""")
 def edge_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences to neighbours, across and down."""
-    return rounded(fields.edge_energy(lit(spark, sf_dir), "lum"))
+    return rounded(fields.edge_energy(lit(spark, sf_dir), "lum", fixtures.frame_parts(spark, sf_dir)))
 
 
 @query(f"""{SCENE_LUM}, m AS (SELECT *, lum >= 1e-1 AS keep FROM lum), a AS (SELECT *, min(keep) OVER (PARTITION BY frame_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS k1 FROM m),
@@ -32,7 +32,7 @@ b AS (SELECT *, min(k1) OVER (PARTITION BY frame_id, x ORDER BY y ROWS BETWEEN 1
 SELECT frame_id, count(*) FILTER (WHERE k2) AS pixels, {s6(p99='quantile_cont(lum, 0.99) FILTER (WHERE k2)')} FROM b GROUP BY frame_id""")
 def erode_protect_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bright end inside a protected region, its rim left out; null where nothing is left."""
-    rows = fields.eroded(lit(spark, sf_dir).withColumn("keep", F.col("lum") >= 0.1), "keep", 1)
+    rows = fields.eroded(lit(spark, sf_dir).withColumn("keep", F.col("lum") >= 0.1), "keep", 1, fixtures.frame_parts(spark, sf_dir))
     return rounded(rows.groupBy("frame_id").agg(F.count_if("keep").alias("pixels"), F.percentile(F.when(F.col("keep"), F.col("lum")), 0.99).alias("p99")))
 
 

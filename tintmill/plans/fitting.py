@@ -56,7 +56,7 @@ def seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that a recipe is held against, a row a frame."""
     px = fixtures.scenes(spark, sf_dir)
-    stats = diagnosis.light_fact(diagnosis.statistics(px), F.expr(own.LABEL), F.expr(own.CONFIDENCE))
+    stats = diagnosis.light_fact(diagnosis.statistics(px, parts=fixtures.frame_parts(spark, sf_dir)), F.expr(own.LABEL), F.expr(own.CONFIDENCE))
     hues = diagnosis.hue_histogram(px).groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("rank", "family", "share"))).alias("hues"))
     families = fit.scene_families(*seen(spark, sf_dir))
     none = F.create_map().cast("map<string,double>")

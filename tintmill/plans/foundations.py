@@ -67,7 +67,7 @@ planned AS MATERIALIZED (SELECT *, CASE WHEN reliable THEN round(greatest(-6e-2,
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return foundation.with_plan(diagnosis.statistics(hazy(spark, sf_dir)))
+    return foundation.with_plan(diagnosis.statistics(hazy(spark, sf_dir), parts=fixtures.frame_parts(spark, sf_dir)))
 
 
 @query(f"WITH {HAZY}, {PLAN}, u AS (SELECT frame_id, unnest(points) AS p, generate_subscripts(points, 1) AS place FROM plan) SELECT frame_id, place::BIGINT AS place, {s6(x='p.x', y='p.y')} FROM u")
@@ -149,7 +149,7 @@ def foundation_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: four checks of a frame before and after its foundation."""
     plans = _plans(spark, sf_dir)
     graded = foundation.applied(hazy(spark, sf_dir), plans)
-    after = diagnosis.statistics(graded.select("frame_id", "idx", "x", "y", "h", *[F.col(f"out_{c}").alias(c) for c in "rgb"]))
+    after = diagnosis.statistics(graded.select("frame_id", "idx", "x", "y", "h", *[F.col(f"out_{c}").alias(c) for c in "rgb"]), parts=fixtures.frame_parts(spark, sf_dir))
     out = foundation.readiness(plans, after)
     return rounded(out.select("frame_id", "status", F.array_join("failures", ", ").alias("failures"), "least_span", "least_vivid", "most_vivid", "least_local"), "frame_id")
 

@@ -98,7 +98,7 @@ def gate_grain_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grain follows lightness, or it is uniform noise."""
     from pyspark.sql import Window
 
-    rows = results(spark, sf_dir).select("frame_id", "x", "y", "h", colour.luma(F.col("r"), F.col("g"), F.col("b")).alias("l")).repartition("frame_id")
+    rows = results(spark, sf_dir).select("frame_id", "x", "y", "h", colour.luma(F.col("r"), F.col("g"), F.col("b")).alias("l")).repartition(fixtures.frame_parts(spark, sf_dir), "frame_id")
     across, down = Window.partitionBy("frame_id", "y").orderBy("x"), Window.partitionBy("frame_id", "x").orderBy("y")
     near = sum((F.abs(f("l").over(w) - F.col("l")) for w in (across, down) for f in (F.lag, F.lead)), F.lit(0.0)) / 4
     rows = rows.withColumn("amplitude", near).filter("y >= 2 and x >= 2 and y < h - 2 and x < 30 and (y - 2) % 3 = 0 and (x - 2) % 3 = 0")

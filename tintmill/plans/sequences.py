@@ -201,7 +201,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY reel ORDER BY health DESC, fram
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each scene as if of a shot, ten to a reel, with their score and rank."""
     c = F.col
-    rows = diag.statistics(fixtures.scenes(spark, sf_dir))
+    rows = diag.statistics(fixtures.scenes(spark, sf_dir), parts=fixtures.frame_parts(spark, sf_dir))
     score = seq.health(c("tone_span"), c("p01"), c("p50"), c("p99"), c("luma_blown_ratio"), c("luma_crushed_ratio"), c("n") / 100.0)
     rows = rows.withColumns({"reel": F.expr("frame_id div 10"), "health": F.round(score, 6) + 0.0})
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("reel").orderBy(c("health").desc(), "frame_id")))
