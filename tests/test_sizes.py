@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tintmill.plans import registry
+from tintmill.plans import matching, registry
 from tintmill.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +24,10 @@ def test_pixels_of_a_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
     per_task = fixtures.scenes(spark, SF).groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)), F.sum("count")).first()
     assert per_task[0] > 2 and per_task[1] == fixtures.table(spark, SF, "lineitem").count()
+
+
+def test_recipes_are_scored_by_many_tasks(spark, monkeypatch):
+    """One file of recipes was one task; and each word took several turns of the expression that strips it."""
+    n = fixtures.table(spark, SF, "part").count()
+    monkeypatch.setattr(matching, "TASK_CARDS", n // 10)
+    assert registry.queries()["keyword_score"](spark, SF).rdd.getNumPartitions() in (10, 11)

@@ -27,13 +27,13 @@ def normalised(text: Column) -> Column:
 
 def hits(text: Column, words: Column) -> Column:
     """Words of two or more characters that the text holds or that hold the text; an empty text has none."""
-    said = normalised(text)
+    words = F.coalesce(words, F.array().cast("array<string>"))
 
-    def either(word: Column) -> Column:
-        w = normalised(word)
-        return (F.length(w) >= SHORTEST) & (F.length(said) > 0) & (F.contains(said, w) | F.contains(w, said))
+    def either(said: Column, word: Column) -> Column:
+        # The list of one binds what is normalised, so that it is worked out once and not in each use.
+        return F.exists(F.array(normalised(word)), lambda w: (F.length(w) >= SHORTEST) & (F.length(said) > 0) & (F.contains(said, w) | F.contains(w, said)))
 
-    return F.filter(F.coalesce(words, F.array().cast("array<string>")), either)
+    return F.transform(F.array(normalised(text)), lambda said: F.filter(words, lambda word: either(said, word)))[0]
 
 
 def score(request: dict[str, Column]) -> Column:

@@ -16,6 +16,8 @@ REQUESTS = (
     ("night", "economy_gear", "", "brand#13"),
     (None, "standard", "noisy", "warm / promo"),
 )
+#: Recipes that one task scores, about.
+TASK_CARDS = 5_000
 KINDS = ("scenes", "subjects", "problems", "preferences")
 POLICIES = m.Policies(
     rules=(
@@ -71,9 +73,11 @@ SCORED_SQL = f"""{CARDS_SQL}, {_ASKED}, scored AS (SELECT recipe_id, brand, name
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every recipe beside each of a few requests, which are literals."""
+    """Every recipe beside each of a few requests, which are literals. A recipe costs much and takes little room, so
+    a file of many is dealt out to tasks of TASK_CARDS."""
     asked = [F.struct(F.lit(k).cast("long").alias("request"), *[F.lit(v).cast("string").alias(n) for n, v in zip(KINDS, r)]) for k, r in enumerate(REQUESTS)]
-    rows = cards(spark, sf_dir).withColumn("q", F.explode(F.array(*asked)))
+    parts = max(1, -(-table(spark, sf_dir, "part").count() // TASK_CARDS))
+    rows = cards(spark, sf_dir).repartition(parts).withColumn("q", F.explode(F.array(*asked)))
     request = {k: F.col("q." + k) for k in KINDS}
     matched = F.array_join(m.hits(request["preferences"], F.col("rule.preferences")), ",")
     return rows.select("recipe_id", "brand", "name", "family", "q.request", matched.alias("matched"), m.score(request).alias("score"))
