@@ -26,6 +26,35 @@ def test_tone_between_and_beyond_points(spark):
         assert r.t == pytest.approx(wanted[r.v])
 
 
+def test_tone_of_long_responses(spark):
+    """The first point that reaches a value, as a plain search finds it, among many with equal x."""
+    draw = random.Random(5)
+    xs = sorted(round(draw.randrange(20, 236) / 255, 6) for _ in range(700))
+    points = list(zip(xs, sorted(draw.random() for _ in xs)))
+
+    def plain(v):
+        if v <= xs[0] or v >= xs[-1]:
+            return points[0][1] if v <= xs[0] else points[-1][1]
+        at = next(k for k in range(1, len(xs)) if v <= xs[k])
+        (x0, y0), (x1, y1) = points[at - 1], points[at]
+        return y0 + (y1 - y0) * ((v - x0) / (x1 - x0) if x1 > x0 else 0.0)
+
+    df = spark.createDataFrame([(k, points[:n]) for k in range(256) for n in (1, 2, 3, 700)], "k int, p array<struct<x: double, y: double>>")
+    got = df.select("k", F.size("p").alias("n"), calibration.toned(F.col("k") / 255.0, F.col("p")).alias("t"), F.get(calibration.tone_table(F.col("p")), F.col("k")).alias("u")).collect()
+    assert all(r.t == r.u == plain(r.k / 255) for r in got if r.n == 700) and all(r.t == r.u is not None for r in got)
+
+
+def test_a_response_is_worked_out_once_a_chart(spark):
+    """Pixels look their tone up; before, each searched its chart's whole response, by three channels."""
+    rows = spark.createDataFrame(chart(1, 40, 0), PATCH)
+    out = calibration.with_tone(rows, calibration.grey_response(rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan[:plan.index("Join")] and "lambda" in plan
+    whole = {r.id: (r.tr, r.tg, r.tb) for r in out.collect()}
+    parts = rows.select("chart", "id", "grp", *[F.col(c).cast("double").alias(c) for c in "rgb"], "mr", "mg", "mb")
+    assert {r.id: (r.tr, r.tg, r.tb) for r in calibration.with_tone(parts, calibration.grey_response(parts)).collect()} == whole
+
+
 def chart(number, size, twist, seed=1):
     draw, rows = random.Random(seed), []
     for k in range(size):

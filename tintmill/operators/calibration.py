@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tintmill.functions import colour
 
@@ -40,7 +41,15 @@ def toned(v: Column, response: Column) -> Column:
     """A response at v: straight lines between its points, its ends beyond them."""
     n = F.size(response)
     first, last = response[0], F.element_at(response, -1)
-    at = F.filter(F.sequence(F.lit(1), n - 1), lambda i: v <= response[i]["x"])[0]
+
+    def halved(reach: Column, _: Column) -> Column:
+        middle = F.shiftright(reach["low"] + reach["high"], 1)
+        below = v <= response[middle]["x"]
+        return F.struct(F.when(below, reach["low"]).otherwise(F.least(middle + 1, reach["high"])).alias("low"), F.when(below, middle).otherwise(reach["high"]).alias("high"))
+
+    # The first point from the second on whose x reaches v: points are in order, so each step halves where it may be.
+    reach = F.struct(F.lit(1).alias("low"), (n - 1).alias("high"))
+    at = F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), reach, halved)["high"]
 
     def line(i: Column) -> Column:
         a, b = response[i - 1], response[i]
@@ -51,6 +60,11 @@ def toned(v: Column, response: Column) -> Column:
     return F.when(v <= first["x"], first["y"]).when(v >= last["x"], last["y"]).otherwise(found)
 
 
+def tone_table(response: Column) -> Column:
+    """A response at the 256 values of eight bits; null without a response."""
+    return F.when(response.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: toned(k / 255.0, response)))
+
+
 def terms(r: Column, g: Column, b: Column) -> list[Column]:
     """Terms that all scale with exposure: the channels, and the roots of their products."""
     root = lambda a, c: F.sqrt(F.greatest(F.lit(0.0), a * c))
@@ -88,9 +102,13 @@ def root_polynomial(patches: DataFrame) -> DataFrame:
 
 
 def with_tone(patches: DataFrame, responses: DataFrame) -> DataFrame:
-    """patches with t<channel>: their channels through their chart's response (charts without one have null)."""
-    out = patches.join(responses, "chart")
-    return out.withColumns({f"t{c}": toned(F.col(c) / 255.0, F.col("response")) for c in "rgb"}).drop("response")
+    """patches with t<channel>: their channels through their chart's response (charts without one have null).
+    A response is worked out once a chart, at the values of eight bits; channels that are no whole numbers ask it each."""
+    if not all(isinstance(patches.schema[c].dataType, IntegralType) for c in "rgb"):
+        out = patches.join(responses, "chart")
+        return out.withColumns({f"t{c}": toned(F.col(c) / 255.0, F.col("response")) for c in "rgb"}).drop("response")
+    out = patches.join(responses.select("chart", tone_table(F.col("response")).alias("__tone")), "chart")
+    return out.withColumns({f"t{c}": F.get("__tone", F.least(F.lit(255), F.greatest(F.lit(0), F.col(c).cast("int")))) for c in "rgb"}).drop("__tone")
 
 
 def predicted(patches: DataFrame, models: DataFrame) -> DataFrame:
