@@ -31,3 +31,9 @@ def test_recipes_are_scored_by_many_tasks(spark, monkeypatch):
     n = fixtures.table(spark, SF, "part").count()
     monkeypatch.setattr(matching, "TASK_CARDS", n // 10)
     assert registry.queries()["keyword_score"](spark, SF).rdd.getNumPartitions() in (10, 11)
+
+
+def test_places_are_zipped_in_the_partitions_of_their_frames(spark, monkeypatch):
+    n = fixtures.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(fixtures, "TASK_ROWS", n // 20)
+    assert registry.queries()["zip_complete"](spark, SF).rdd.getNumPartitions() == fixtures.frame_parts(spark, SF)
