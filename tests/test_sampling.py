@@ -106,3 +106,11 @@ def test_keyframes(spark):
     keys = spark.createDataFrame([(1, 2, square(0.0)), (1, 6, square(8.0)), (1, 7, [*square(8.0), (8.0, 4.0)])], "clip_id long, frame_no long, points array<struct<x: double, y: double>>")
     got = {(r.clip_id, r.frame_no): r.points and r.points[0].x for r in sampling.between_keyframes(frames, keys).collect()}
     assert got == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 2, (1, 4): 4, (1, 5): 6, (1, 6): 8, (1, 7): 8, (1, 8): 8, (2, 0): None}
+
+
+def test_an_edge_is_worked_out_once(spark):
+    """The polygon's points are read for its edges, not anew in each use of them."""
+    df = spark.createDataFrame([(1.0, 1.0, [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)])], "x double, y double, points array<struct<x: double, y: double>>")
+    out = df.select(sampling.inside(F.col("x"), F.col("y"), F.col("points")).alias("inside"))
+    assert out.first().inside
+    assert out._jdf.queryExecution().analyzed().toString().count("points") < 30

@@ -105,17 +105,22 @@ def inside(x: Column, y: Column, points: Column) -> Column:
     edge is inside. Fewer than three points hold nothing."""
     n = F.size(points)
 
-    def step(acc: Column, k: Column) -> Column:
-        a, b = points[k], points[(k + 1) % n]
+    def seen(e: Column) -> Column:
+        a, b = e["a"], e["b"]
         # Twice the area of the triangle with the edge: its sign tells the side.
         turn = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
         within = lambda v, p, q: (v >= F.least(p, q)) & (v <= F.greatest(p, q))
-        on = (turn == 0) & within(x, a["x"], b["x"]) & within(y, a["y"], b["y"])
-        crosses = ((a["y"] > y) != (b["y"] > y)) & ((turn > 0) == (b["y"] > a["y"])) & (turn != 0)
-        return F.struct((acc["odd"] != crosses).alias("odd"), (acc["on"] | on).alias("on"))
+        near = within(x, a["x"], b["x"]) & within(y, a["y"], b["y"])
+        return F.struct(turn.alias("turn"), near.alias("near"), ((a["y"] > y) != (b["y"] > y)).alias("spans"), (b["y"] > a["y"]).alias("up"))
 
+    def step(acc: Column, s: Column) -> Column:
+        crosses = s["spans"] & ((s["turn"] > 0) == s["up"]) & (s["turn"] != 0)
+        return F.struct((acc["odd"] != crosses).alias("odd"), (acc["on"] | ((s["turn"] == 0) & s["near"])).alias("on"))
+
+    # Each step is a list, so that what an edge gives is worked out once and not in each use.
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(points[k].alias("a"), points[(k + 1) % n].alias("b")))
     start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    found = F.aggregate(F.transform(edges, seen), start, step)
     return F.when(n >= 3, found["odd"] | found["on"]).otherwise(False)
 
 
