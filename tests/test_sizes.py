@@ -1,5 +1,7 @@
 """What one task holds must not grow with the tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,15 @@ def test_places_are_zipped_in_the_partitions_of_their_frames(spark, monkeypatch)
     n = fixtures.table(spark, SF, "lineitem").count()
     monkeypatch.setattr(fixtures, "TASK_ROWS", n // 20)
     assert registry.queries()["zip_complete"](spark, SF).rdd.getNumPartitions() == fixtures.frame_parts(spark, SF)
+
+
+@pytest.mark.parametrize("name", ["lut_precision_17", "lut_precision_33", "lut_review", "gate_skin_corridor"])
+def test_the_virtual_machine_compiles_what_runs_for_each_pixel(spark, name, capsys):
+    """Methods of more than 8,000 bytes stay interpreted: these queries had ones of 20,000 and more."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        registry.queries()[name](spark, SF).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    found = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert found and max(found) < 8000

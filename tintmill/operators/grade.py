@@ -74,6 +74,7 @@ def with_grade(df: DataFrame, look: Look, strength: float = 1.0, out: str = "out
     mixed = {out + k: F.col(k) / 255.0 * (1 - strength) + F.col(n) * strength for n, k in zip(own, "rgb")}
     if not unrounded:
         mixed = {n: F.rint(c * 255).cast("int") for n, c in mixed.items()}
+    mixed[out + "r"] = colour.apart(mixed[out + "r"])
     return df.withColumns(mixed).drop(*own)
 
 
