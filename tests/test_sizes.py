@@ -41,7 +41,7 @@ def test_places_are_zipped_in_the_partitions_of_their_frames(spark, monkeypatch)
     assert registry.queries()["zip_complete"](spark, SF).rdd.getNumPartitions() == fixtures.frame_parts(spark, SF)
 
 
-@pytest.mark.parametrize("name", ["lut_precision_17", "lut_precision_33", "lut_review", "gate_skin_corridor"])
+@pytest.mark.parametrize("name", ["lut_precision_17", "lut_precision_33", "lut_review", "fit_score", "fit_preflight", "fit_score_top3", "gate_skin_corridor"])
 def test_the_virtual_machine_compiles_what_runs_for_each_pixel(spark, name, capsys):
     """Methods of more than 8,000 bytes stay interpreted: these queries had ones of 20,000 and more."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
