@@ -51,3 +51,9 @@ def test_the_virtual_machine_compiles_what_runs_for_each_pixel(spark, name, caps
         spark.conf.unset("spark.sql.adaptive.enabled")
     found = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert found and max(found) < 8000
+
+
+def test_a_task_zips_a_place_once(spark):
+    """Distinct inputs of a place were kept as rows of their own, three a place, before they were counted."""
+    plan = registry.queries()["zip_complete"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or(part" in plan and "distinct" not in plan

@@ -113,11 +113,12 @@ def overridden(recipes: DataFrame, overrides: DataFrame, media: str, fields: lis
 def zipped(first: DataFrame, second: DataFrame, third: DataFrame, keys: list[str]) -> DataFrame:
     """group key, pixels, complete: how many places all three have, and whether none has a place that another lacks.
 
-    Each input is one row a place; the rest of keys after the first tells places of a group apart.
+    Each input is one row a place; the rest of keys after the first tells places of a group apart. An input is a
+    bit of its places, so that a task holds a place once, not once an input.
     """
-    marked = [df.select(*keys, F.lit(k).alias("part")) for k, df in enumerate((first, second, third))]
-    places = reduce(DataFrame.unionByName, marked).groupBy(*keys).agg(F.count_distinct("part").alias("parts"))
-    return places.groupBy(keys[0]).agg(F.count_if(F.col("parts") == 3).alias("pixels"), F.every(F.col("parts") == 3).alias("complete"))
+    marked = [df.select(*keys, F.lit(1 << k).alias("part")) for k, df in enumerate((first, second, third))]
+    places = reduce(DataFrame.unionByName, marked).groupBy(*keys).agg(F.bit_or("part").alias("parts"))
+    return places.groupBy(keys[0]).agg(F.count_if(F.col("parts") == 7).alias("pixels"), F.every(F.col("parts") == 7).alias("complete"))
 
 
 # Profiles that are meant for a screen, those that say nothing, and curves of logarithmic recordings.
